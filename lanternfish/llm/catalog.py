@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, flac
+from . import bpe, flac, neardup
 
 QUERIES = {
     "op2_token_counts": bpe.op2_query,
+    "op6_probminhash_near_dedup": neardup.op6_query,
     "op8_flac_media": flac.op8_query,
     "op9_bpe_round_trip": bpe.op9_query,
 }
