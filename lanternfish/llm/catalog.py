@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, neardup
+from . import bpe, flac, neardup, sharding
 
 QUERIES = {
+    "op1_histogram_shards": sharding.op1_query,
     "op2_token_counts": bpe.op2_query,
     "op6_probminhash_near_dedup": neardup.op6_query,
     "op8_flac_media": flac.op8_query,
