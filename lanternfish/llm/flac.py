@@ -9,7 +9,7 @@ CRC-8, CRC-16 or MD5. Frames are decoded side by side in numpy, one sample of ev
 complete seek table they are decoded one after the other.
 
 A text's payload is its UTF-8 bytes (none for null) and zero bytes up to a positive multiple of ``PAD``. Texts
-are processed whole, in groups of about ``GROUP_BYTES``; a longer text is a group of its own.
+are processed whole, in groups of about ``ENCODE_BYTES`` and ``DECODE_BYTES``; a longer text is a group of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 PAD = 64
-GROUP_BYTES = 3 << 20
+#: Payload bytes encoded at once, and stream bytes decoded at once; encoding needs some 150 bytes of memory for each.
+ENCODE_BYTES, DECODE_BYTES = 1 << 20, 3 << 20
 RATE = 8000
 PARTITION_ORDER = 2
 LPC_ORDER, LPC_BITS, LPC_SHIFT = 4, 12, 9
@@ -487,12 +488,12 @@ def feature(blocks: list[tuple[int, bytes]]) -> str:
     return f"blocks={len(blocks)};sum={int(x.sum())};energy={int((x * x).sum() // len(x))};crossings={turns};peak={int(np.abs(x).max())}"
 
 
-def groups(values: list, size) -> Iterator[list]:
+def groups(values: list, size, most: int) -> Iterator[list]:
     group, total = [], 0
     for v in values:
         group.append(v)
         total += size(v)
-        if total >= GROUP_BYTES:
+        if total >= most:
             yield group
             group, total = [], 0
     if group:
@@ -500,16 +501,16 @@ def groups(values: list, size) -> Iterator[list]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that one holds about GROUP_BYTES."""
+    """Arrow batches cut so that one holds about DECODE_BYTES."""
     for batch in batches:
-        rows = max(1, int(batch.num_rows * GROUP_BYTES / max(batch.nbytes, 1)))
+        rows = max(1, int(batch.num_rows * DECODE_BYTES / max(batch.nbytes, 1)))
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        media = [m for g in groups([payload_of(t) for t in batch.column(0).to_pylist()], len) for m in encode(g)]
+        media = [m for g in groups([payload_of(t) for t in batch.column(0).to_pylist()], len, ENCODE_BYTES) for m in encode(g)]
         yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), *batch.columns[1:]], names=["media", *batch.schema.names[1:]])
 
 
@@ -517,7 +518,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in pieces(batches):
         rows = []
-        for g in groups(batch.column(0).to_pylist(), len):
+        for g in groups(batch.column(0).to_pylist(), len, DECODE_BYTES):
             for media, blocks in zip(g, decode(g)):
                 pcm = b"".join(b for _, b in blocks)
                 rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(blocks)))
@@ -525,9 +526,13 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names])
 
 
+def round_trip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return digest_batches(encode_batches(batches))
+
+
 def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        decoded = [b for g in groups(batch.column(0).to_pylist(), len) for b in decode(g)]
+        decoded = [b for g in groups(batch.column(0).to_pylist(), len, DECODE_BYTES) for b in decode(g)]
         rows = np.repeat(np.arange(batch.num_rows), [len(b) for b in decoded])
         flat = [b for d in decoded for b in d]
         cols = [c.take(pa.array(rows)) for c in batch.columns[1:]]
@@ -549,9 +554,17 @@ def to_flac(df: DataFrame, text: str = "text") -> DataFrame:
     return _run(df, text, encode_batches, "media binary", "")
 
 
+DIGEST = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+
+
 def flac_digest(df: DataFrame) -> DataFrame:
     """Decode ``media`` with every checksum verified, and replace it by digests and features."""
-    return _run(df, "media", digest_batches, "", "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return _run(df, "media", digest_batches, "", DIGEST)
+
+
+def flac_round_trip(df: DataFrame, text: str = "text") -> DataFrame:
+    """As flac_digest(to_flac(df)), in one Python worker for each task; the decoder gets the streams alone."""
+    return _run(df, text, round_trip_batches, "", DIGEST)
 
 
 def flac_blocks(df: DataFrame) -> DataFrame:
@@ -563,4 +576,4 @@ def op8_query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    return flac_digest(to_flac(docs))
+    return flac_round_trip(docs)
