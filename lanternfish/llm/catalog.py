@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, neardup, sharding
+from . import bpe, flac, neardup, quality, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_query,
     "op2_token_counts": bpe.op2_query,
+    "op4_quality_rules": quality.op4_query,
     "op6_probminhash_near_dedup": neardup.op6_query,
     "op8_flac_media": flac.op8_query,
     "op9_bpe_round_trip": bpe.op9_query,
