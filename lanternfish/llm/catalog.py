@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, neardup, quality, sharding
+from . import bpe, flac, mixing, neardup, quality, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_probminhash_near_dedup": neardup.op6_query,
     "op8_flac_media": flac.op8_query,
     "op9_bpe_round_trip": bpe.op9_query,
+    "op10_mix_sources": mixing.op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
