@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, mixing, neardup, quality, sharding
+from . import bpe, flac, mixing, neardup, quality, rule_classifier, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_query,
     "op2_token_counts": bpe.op2_query,
     "op4_quality_rules": quality.op4_query,
     "op6_probminhash_near_dedup": neardup.op6_query,
+    "op7_rule_ensemble": rule_classifier.op7_query,
     "op8_flac_media": flac.op8_query,
     "op9_bpe_round_trip": bpe.op9_query,
     "op10_mix_sources": mixing.op10_query,
