@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, mixing, neardup, quality, rule_classifier, sharding
+from . import bpe, fixity, flac, mixing, neardup, preferences, quality, rule_classifier, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_query,
     "op2_token_counts": bpe.op2_query,
+    "op3_preference_pairs": preferences.op3_query,
     "op4_quality_rules": quality.op4_query,
+    "op5_warc_fixity": fixity.op5_query,
     "op6_probminhash_near_dedup": neardup.op6_query,
     "op7_rule_ensemble": rule_classifier.op7_query,
     "op8_flac_media": flac.op8_query,
@@ -15,4 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_preference_pairs": preferences.OP3_SQL,
+    "op5_warc_fixity": fixity.OP5_SQL,
+}
