@@ -11,7 +11,7 @@ Linked: the probability Jaccard similarity, or the plain Jaccard similarity of t
 least the threshold. Classes are the connected components of the links; equal texts are always of one class.
 
 Scale. Equal texts are collapsed first, reduced before the shuffle. Within a bucket no pairs of all members are made: in
-round r the members meet 2^(r-1) representatives that they share no class with, these leave the bucket, and
+round r the members meet up to 8^r representatives that they share no class with, these leave the bucket, and
 rounds go on until each bucket is one class or empty, so no pair of different classes stays untested.
 Texts move once, for texts with a candidate; the keys of those are broadcast only up to ``BROADCAST_KEYS``.
 
@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 6
 #: Texts of about so many bytes are hashed at once.
 GROUP_BYTES = 3 << 20
 BROADCAST_KEYS = 200_000
-MAX_ROUNDS = 40
+MAX_ROUNDS = 12
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,10 +59,16 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    kept = _KEPT.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 4 << 20), base, dtype=np.uint64)
+        kept[0] = 1
+        kept = _KEPT[int(base)] = np.multiply.accumulate(kept)
+    return kept[:n]
 
 
 def shingle_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,22 +86,27 @@ def shingle_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         prefix = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * _powers(_ODD, len(data)))]
         word = mix((prefix[end] - prefix[start]) * _powers(_ODD_INV, len(data))[start] + (end - start).astype(np.uint64))
-        doc = np.searchsorted(ends_of, start, side="right")
-        n = np.bincount(doc, minlength=len(raws))
-        left = (np.cumsum(n))[doc] - np.arange(len(doc))  # words from here to the end of the text
-        out = np.zeros(len(word), dtype=np.uint64)
+        n = np.diff(np.r_[0, np.searchsorted(start, ends_of)])  # words of each text
+        doc = np.repeat(np.arange(len(raws)), n)
+        stop = np.cumsum(n)
+        # a sum of powers over five consecutive words; a shorter text sums all its words
+        out = np.zeros(max(len(word) - SHINGLE + 1, 0), dtype=np.uint64)
         for k in range(SHINGLE):
-            has = left > k
-            at = np.minimum(np.arange(len(word)) + k, len(word) - 1)
-            out = np.where(has, mix(out * _GOLD + word[at] + np.uint64(k)), out)
-    keep = (left >= SHINGLE) | ((n[doc] < SHINGLE) & (left == n[doc]))
-    return out[keep], doc[keep]
+            out += word[k : k + len(out)] * _powers(_GOLD, SHINGLE)[k]
+        whole = np.arange(len(out)) + SHINGLE <= stop[doc[: len(out)]]
+        hashes, of = [mix(out[whole])], [doc[: len(out)][whole]]
+        for d in np.flatnonzero((n > 0) & (n < SHINGLE)):
+            own = word[stop[d] - n[d] : stop[d]] * _powers(_GOLD, SHINGLE)[: n[d]]
+            hashes.append(mix(own.sum(dtype=np.uint64, keepdims=True) + np.uint64(n[d])))
+            of.append(np.array([d]))
+    return np.concatenate(hashes), np.concatenate(of)
 
 
 def bags(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text: text index, hash, count."""
     h, doc = shingle_hashes(raws)
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order], kind="stable")]
     h, doc = h[order], doc[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)])
     return doc[first], h[first], np.diff(np.r_[first, len(h)])
@@ -130,28 +141,31 @@ def signatures(raws: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return winner.reshape(texts, size), done
 
 
+def bag_similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
+    """Probability Jaccard of two bags, and plain Jaccard of their sets; hashes come sorted."""
+    if not len(ha) or not len(hb):
+        return 0.0, 0.0
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    both = hb[at] == ha
+    n = int(both.sum())
+    union = len(ha) + len(hb) - n
+    if not n or (wa.max() == 1 and wb.max() == 1):
+        return n / union, n / union
+    a, b = wa[both].astype(float), wb[at[both]].astype(float)
+    only_a, only_b = float(wa.sum() - a.sum()), float(wb.sum() - b.sum())
+    order = np.argsort(a / b, kind="stable")
+    a, b = a[order], b[order]
+    below = np.searchsorted(a / b, a / b, side="left")
+    above_a = only_a + a.sum() - np.r_[0, np.cumsum(a)][below]
+    below_b = only_b + np.r_[0, np.cumsum(b)][below]
+    return float((1 / (above_a / a + below_b / b)).sum()), n / union
+
+
 def similarity(a: bytes, b: bytes) -> tuple[float, float]:
-    """Probability Jaccard of the two bags, and plain Jaccard of the two sets, of shingles."""
+    """Probability Jaccard of the bags, and plain Jaccard of the sets, of two texts' shingles."""
     doc, h, count = bags([a, b])
-    if not len(h):
-        return 0.0, 0.0
-    _, at = np.unique(h, return_inverse=True)
-    w = np.zeros((2, int(at.max()) + 1))
-    w[doc, at] = count
-    wa, wb = w
-    shared = (wa > 0) & (wb > 0)
-    if not shared.any():
-        return 0.0, 0.0
-    with np.errstate(divide="ignore"):
-        ratio = np.where(wb > 0, wa / np.where(wb > 0, wb, 1), np.inf)
-    order = np.argsort(ratio, kind="stable")
-    ratio, wa, wb, shared = ratio[order], wa[order], wb[order], shared[order]
-    below = np.searchsorted(ratio, ratio, side="left")
-    above_a = wa.sum() - np.r_[0, np.cumsum(wa)][below]
-    below_b = np.r_[0, np.cumsum(wb)][below]
-    s = shared
-    jp = float((1 / (above_a[s] / wa[s] + below_b[s] / wb[s])).sum())
-    return jp, float(s.mean())
+    cut = np.searchsorted(doc, 1)
+    return bag_similarity(h[:cut], count[:cut], h[cut:], count[cut:])
 
 
 def grouped(raws: list[bytes]) -> Iterator[list[bytes]]:
@@ -186,12 +200,26 @@ def _sign(bands: int, rows: int):
 
 
 def _verify(threshold: float):
+    def similarities(rows: list[tuple]) -> list[float]:
+        at: dict[bytes, int] = {}
+        raws = [t.encode() for a, b, ta, tb in rows for k, t in ((a, ta), (b, tb)) if k not in at and at.setdefault(k, len(at)) is not None]
+        doc, h, w = bags(raws)
+        cut = np.searchsorted(doc, np.arange(len(raws) + 1))
+        own = [(h[x:y], w[x:y]) for x, y in zip(cut, cut[1:])]
+        return [max(bag_similarity(*own[at[a]], *own[at[b]])) for a, b, _, _ in rows]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            pairs = zip(batch.column(at["ta"]).to_pylist(), batch.column(at["tb"]).to_pylist())
-            sims = [max(similarity(x.encode(), y.encode())) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(at["a"]), batch.column(at["b"]), pa.array(sims, pa.float64()), pa.array([s >= threshold for s in sims], pa.bool_())], names=["a", "b", "sim", "linked"])
+            sims: list[float] = []
+            group, size = [], 0
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                group.append(row)
+                size += len(row[3])
+                if size >= GROUP_BYTES:
+                    sims += similarities(group)
+                    group, size = [], 0
+            sims += similarities(group) if group else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64()), pa.array([s >= threshold for s in sims], pa.bool_())], names=["a", "b", "sim", "linked"])
 
     return run
 
@@ -211,11 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     active = checkpointed(members.join(shared, "bucket"))
-    links = _links(docs, nodes, active, threshold)
-    if links is None:
+    found = None if active.isEmpty() else _links(docs, active, threshold)
+    if found is None:
         classes = nodes.select("key", "copies", F.col("key").alias("root"), F.lit(0).cast("bigint").alias("links"))
     else:
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        links, roots = found
         degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
         known = roots.withColumnRenamed("node", "key").join(degree, "key")
         classes = nodes.select("key", "copies").join(known, "key", "left").select("key", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -225,33 +253,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "class_size", "copies", "links")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, active: DataFrame, threshold: float) -> DataFrame | None:
-    """Every tested link between different texts that classes need, as (a, b) with a < b."""
+def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame | None:
+    """Labels (node, root) after new links (a, b), by contracting the graph of the classes that they join."""
+    edges = new.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if label is None:
+        return components(edges)
+    for c in ("u", "v"):
+        edges = edges.join(label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    moved = components(edges.select("u", "v").distinct()).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    kept = label.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = moved.join(label, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return checkpointed(kept.unionByName(fresh))
+
+
+def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """The tested links (a, b) between different texts, a < b, and the labels (node, root) that they give."""
     texts = _texts_of(docs, active.select("key").distinct())
-    tested = links = None
+    tested = label = None
+    here = active.withColumn("root", F.col("key"))
     for r in range(MAX_ROUNDS):
-        if r:
-            label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))) if links is not None else None
-            here = active.withColumn("root", F.col("key")) if label is None else active.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-            here = checkpointed(here.join(mixed, "bucket"))
-        else:
-            here = active.withColumn("root", F.col("key"))
-        if here.isEmpty():
-            return links
-        salted = here.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(1 << min(r, 20))))
-        reps = salted.groupBy("bucket", "salt").agg(F.min(F.struct("key", "root")).alias("rep")).select("bucket", F.col("rep.key").alias("rep"), F.col("rep.root").alias("rep_root"))
+        salt = F.pmod(F.xxhash64("key"), F.lit(8**r))
+        reps = here.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("key", "root")).alias("rep")).select("bucket", F.col("rep.key").alias("rep"), F.col("rep.root").alias("rep_root"))
         met = here.join(reps, "bucket").where("root <> rep_root")
         pairs = met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-        both = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        both = one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
         done = checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a binary, b binary, sim double, linked boolean"))
-        new = done.where("linked").select("a", "b")
-        tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        links = new if links is None else links.unionByName(new)
-        active = checkpointed(here.select("bucket", "key").join(reps.select("bucket", F.col("rep").alias("key")), ["bucket", "key"], "left_anti"))
+        tested = done if tested is None else tested.unionByName(done)
+        new = done.where("linked")
+        if not new.isEmpty():
+            label = _joined(label, new)
+        left = here.select("bucket", "key").join(reps.select("bucket", F.col("rep").alias("key")), ["bucket", "key"], "left_anti")
+        if label is not None:
+            left = left.join(label.withColumnRenamed("node", "key"), "key", "left")
+            left = left.select("bucket", "key", F.coalesce("root", "key").alias("root"))
+        else:
+            left = left.withColumn("root", F.col("key"))
+        mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        here = checkpointed(left.join(mixed, "bucket"))
+        if here.isEmpty():
+            return None if label is None else (tested.where("linked").select("a", "b"), label)
     raise RuntimeError(f"buckets were not settled in {MAX_ROUNDS} rounds")
 
 
