@@ -178,5 +178,27 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents: for each epoch a row with what the mix takes of a document, with the columns of docs.
+
+    A row whose words are all taken keeps its text as it is; else its taken words stand in order, a space
+    between. n_chars, where docs have it, is counted again. Documents that the mix leaves out go. Texts move once, to
+    the plan made without them.
+    """
+    keyed = docs.withColumn("_row", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    _, parts, _ = mixed_parts(keyed.select("doc_id", "source", "text", "_row"), carry=["_row"], **how)
+    epochs = parts.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("epoch"))
+    spans = F.array_sort(F.collect_list(F.struct("from_word", "n_words")))
+    taken = epochs.groupBy("_row", "source_no", "start", "size", "epoch").agg(spans.alias("_spans"), F.sum("n_words").alias("_n"))
+    taken = taken.select("_row", "_spans", (F.col("_n") == F.col("size")).alias("_whole"))
+    met = keyed.dropDuplicates(["_row"]).join(taken, "_row")
+    tokens = words(F.col("text"))
+    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+    out = met.withColumn("_words", F.when(~F.col("_whole"), tokens)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op10_query(spark, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

@@ -227,7 +227,8 @@ def _verify(threshold: float):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each document: doc_id, class_id (least doc_id of its class), class_size, copies, links.
 
-    copies counts the rows with an equal text; links the tested links of the text to different texts.
+    copies counts the rows with an equal text; links the tested links of the text to different texts. key (md5 of the
+    text) and root (the least key of the class) tell texts and classes apart where ids repeat.
     """
     import sys
 
@@ -249,8 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         classes = nodes.select("key", "copies").join(known, "key", "left").select("key", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     named = classes.join(nodes.select("key", "first_id"), "key")
     sizes = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = checkpointed(named.join(sizes, "root").select("key", "class_id", "class_size", "copies", "links"))
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "class_size", "copies", "links")
+    classes = checkpointed(named.join(sizes, "root").select("key", "root", "class_id", "class_size", "copies", "links"))
+    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "class_size", "copies", "links", "key", "root")
 
 
 def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame | None:
@@ -307,7 +308,17 @@ def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return checkpointed(found.dropDuplicates(["key"]))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each class stays, with its own columns: of its least doc_id; of repeated rows one stays."""
+    classes = near_duplicates(docs)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
+    stays = first.select(F.col("x.key").alias("_stay"), F.col("x.doc_id").alias("_id"))
+    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    kept = keyed.join(stays, (F.col("_key") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+
+
 def op6_query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")

@@ -1,10 +1,11 @@
-"""Quality rules under weak supervision: rules vote, expectation-maximisation weighs them, a posterior decides.
+"""Quality rules under weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-Each rule votes good (1), bad (-1) or abstains (0) on counts of the whole text. A latent class model has, for
-each rule and each of the two classes, the probabilities of the three votes. They are estimated by expectation-
-maximisation over the counted vote patterns of all documents: at most 3 to the number of rules patterns
-reach the driver, however many documents there are. The fitted log-likelihood ratios become one column expression,
-and a document stays if its posterior probability of being good is at least a half.
+Each rule votes good (1), bad (-1) or abstains (0) on counts of the whole text. A rule that votes is right with an
+unknown probability, its accuracy, whatever the class; an abstention is no evidence, so that no clean document is lost
+for want of praise. Accuracies and the share of good documents are estimated by expectation-maximisation over the
+counted vote patterns of all documents: at most 3 to the number of rules patterns reach the driver, however
+many documents there are. The log-odds of the accuracies become one column expression, and a document stays if its
+posterior probability of being good is at least a half.
 
 Defined results: null and empty texts have no words and fail the base; repeated rows are judged alike; an empty
 table fits the prior and returns no rows; other columns pass through, except that output names win over
@@ -23,8 +24,9 @@ from .common import checkpointed, let, table, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 ROUNDS = 100
-#: The first guess of the vote probabilities counts as much as this share of all documents.
-ANCHOR = 0.02
+#: The first guess of an accuracy counts as many votes, and an accuracy stays within these bounds.
+FIRST_ACCURACY, FIRST_VOTES = 0.8, 10
+LEAST, MOST = 0.5, 0.995
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_stops", "n_distinct"]
 
@@ -96,7 +98,7 @@ def rules() -> dict[str, Column]:
         "capitals": vote(2 * up > chars, None),
         "exclamations": vote(5 * excl > n, None),
         "repeated_lines": vote(100 * F.col("n_dup_lines") > 30 * F.col("n_lines"), None),
-        "repeated_words": vote(100 * F.col("n_repeat_words") > 30 * n, long_enough & (20 * F.col("n_repeat_words") <= n)),
+        "repeated_words": vote(100 * F.col("n_repeat_words") > 30 * n, None),
         "word_length": vote((chars < 2 * n) | (chars > 15 * n), None),
         "plain_letters": vote((5 * sym > n) | (2 * up > chars), long_enough & (50 * sym <= n) & (5 * up <= chars) & (20 * excl <= n)),
         "sentences": vote(long_enough & ((150 * stops < n) | (stops > 2 * n)), None),
@@ -105,55 +107,38 @@ def rules() -> dict[str, Column]:
 
 
 def fit(stats: DataFrame) -> dict:
-    """The vote probabilities of each rule and class, and the share of good documents."""
+    """The accuracy of each rule, and the share of good documents."""
     votes = rules()
     names = list(votes)
     counted = stats.groupBy(*[c.cast("int").alias(n) for n, c in votes.items()]).agg(F.count("*").alias("_n")).collect()
     patterns = sorted(([r[n] for n in names], r["_n"]) for r in counted)
-    total = sum(n for _, n in patterns)
-
-    def shares(post: list[float], prior=None):
-        weight = ANCHOR * total + 1
-        theta = []
-        for j in range(len(names)):
-            row = []
-            for y in (0, 1):
-                mass = {v: 1e-6 if prior is None else weight * prior[j][y][v] for v in (-1, 0, 1)}
-                for (p, n), q in zip(patterns, post):
-                    mass[p[j]] += n * (q if y else 1 - q)
-                all_ = sum(mass.values())
-                row.append({v: max(m / all_, 1e-6) for v, m in mass.items()})
-            theta.append(row)
-        good = sum(n * q for (_, n), q in zip(patterns, post))
-        return theta, min(max((good + 1) / (total + 2), 0.01), 0.99)
-
-    def posterior(theta, good):
-        out = []
-        for p, _ in patterns:
-            z = math.log(good / (1 - good)) + sum(math.log(theta[j][1][v] / theta[j][0][v]) for j, v in enumerate(p))
-            out.append(1 / (1 + math.exp(-max(min(z, 500), -500))))
-        return out
-
-    first = [1 / (1 + math.exp(-(1 + 2.0 * sum(p)))) for p, _ in patterns]
-    anchor, good = shares(first)
-    theta, post = anchor, first
+    accuracy, good, total = [FIRST_ACCURACY] * len(names), 0.5, sum(n for _, n in patterns)
     for _ in range(ROUNDS):
-        theta, good = shares(post, anchor)
-        new = posterior(theta, good)
-        moved = max((abs(a - b) for a, b in zip(new, post)), default=0)
-        post = new
-        if moved < 1e-9:
+        post = [_sigmoid(_logit(good) + sum(v * _logit(a) for v, a in zip(p, accuracy))) for p, _ in patterns]
+        before = [*accuracy, good]
+        for j in range(len(names)):
+            cast = sum(n for p, n in patterns if p[j])
+            right = sum(n * (q if p[j] > 0 else 1 - q) for (p, n), q in zip(patterns, post) if p[j])
+            accuracy[j] = min(max((right + FIRST_ACCURACY * FIRST_VOTES) / (cast + FIRST_VOTES), LEAST), MOST)
+        good = min(max((sum(n * q for (_, n), q in zip(patterns, post)) + 1) / (total + 2), LEAST), MOST)
+        if max(abs(x - y) for x, y in zip(before, [*accuracy, good])) < 1e-9:
             break
-    return {"rules": names, "theta": theta, "good": good, "documents": total}
+    return {"accuracy": dict(zip(names, accuracy)), "good": good, "documents": total}
+
+
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
+def _sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-max(min(z, 500.0), -500.0)))
 
 
 def posterior_column(model: dict) -> Column:
     """The posterior probability that a document is good, from the counts of STATS."""
-    z = F.lit(math.log(model["good"] / (1 - model["good"])))
-    votes = rules()
-    for name, (bad, good) in zip(model["rules"], model["theta"]):
-        ratio = {v: F.lit(math.log(good[v] / bad[v])) for v in (-1, 0, 1)}
-        z = z + F.when(votes[name] == 1, ratio[1]).when(votes[name] == -1, ratio[-1]).otherwise(ratio[0])
+    z = F.lit(_logit(model["good"]))
+    for name, vote in rules().items():
+        z = z + vote * F.lit(_logit(model["accuracy"][name]))
     return 1 / (1 + F.exp(-z))
 
 
