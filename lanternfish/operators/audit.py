@@ -1,0 +1,109 @@
+"""Tables of contents, retrieval logs and session transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scores as S
+from ..functions import text as X
+
+LOG_SCORES = ["score", "bm25_score", "dense_rank", "bm25_rank", "fused_score", "normalized_fused", "rerank_score", "rank_score", "final_score"]
+
+
+def toc(chunks: DataFrame, tier: str | None = None) -> DataFrame:
+    """(type, source, date, n_chunks, sections): files by tier, sections in the order of their first chunk."""
+    rows = chunks if tier is None else chunks.where(F.col("type") == tier)
+    firsts = rows.groupBy("type", "source", "section").agg(F.min("mtime").alias("at"), F.min("ord").alias("ord"), F.max("date").alias("date"), F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.when(F.coalesce("section", F.lit("")) != "", F.struct("ord", "section"))))
+    return firsts.groupBy("type", "source").agg(F.max("date").alias("date"), F.sum("n").alias("n_chunks"), F.transform(listed, lambda x: x["section"]).alias("sections"))
+
+
+def toc_text(rows: DataFrame, full: bool = False) -> DataFrame:
+    """(type, rendered) of each tier."""
+    line = F.format_string("- %s · %s · %d chunks", "source", "date", "n_chunks")
+    if full:
+        line = F.concat(line, F.array_join(F.transform("sections", lambda s: F.concat(F.lit("\n  - "), s)), ""))
+    one = rows.select("type", F.struct("source", line.alias("line")).alias("x"))
+    return one.groupBy("type").agg(F.concat_ws("\n", "type", F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")).alias("rendered"))
+
+
+def service_records(queries: DataFrame, gated: DataFrame, ts: Column, duration_ms: Column) -> DataFrame:
+    """A log record for each query: hash and redacted preview, never the text of a chunk."""
+    item = F.struct("rank", "id", "source", *[S.rounded(F.col(c)).alias(c) if not c.endswith("_rank") else F.col(c) for c in LOG_SCORES])
+    chosen = gated.where("drop_reason is null").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("selected"))
+    rows = queries.join(chosen, "query_id", "left")
+    return rows.select("query_id", F.lit("service").alias("kind"), ts.alias("ts"), F.sha2(F.coalesce("query", F.lit("")), 256).alias("query_hash"), X.redact(F.coalesce("query", F.lit(""))).alias("query_preview"), duration_ms.alias("duration_ms"), F.col("selected").isNotNull().alias("injected"), "selected")
+
+
+def client_records(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit("client").alias("kind"), "ts", F.sha2(F.coalesce("query", F.lit("")), 256).alias("query_hash"), "outcome", "duration_ms")
+
+
+def append_log(records: DataFrame, folder: str) -> None:
+    records.write.mode("append").json(folder)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a log as variants; lines that are no JSON are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.try_parse_json("value").alias("record")).where("record is not null")
+
+
+def log_kind(kind: Column) -> Column:
+    return F.when(kind == "client", "client").otherwise("service")
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """(records, service, client); a record without a kind is an old service record."""
+    kind = log_kind(F.col("kind"))
+    return log.agg(F.count("*").alias("records"), F.count_if(kind == "service").alias("service"), F.count_if(kind == "client").alias("client"))
+
+
+def matched_log(log: DataFrame) -> DataFrame:
+    """Service records with the outcome that the client logged for the same query."""
+    kind = log_kind(F.col("kind"))
+    client = log.where(kind == "client").select("query_hash", F.col("outcome").alias("client_outcome"), F.col("duration_ms").alias("client_ms"))
+    return log.where(kind == "service").join(client, "query_hash", "left")
+
+
+def log_lines(log: DataFrame) -> DataFrame:
+    """A line of text for each record."""
+    when = F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("(no ts)"))
+    short = F.coalesce(F.nullif(F.substring(F.coalesce("query_hash", F.lit("")), 1, 12), F.lit("")), F.lit("(no hash)"))
+    took = F.coalesce(F.concat(F.col("duration_ms").cast("string"), F.lit("ms")), F.lit("?ms"))
+    client = F.concat(F.lit("["), when, F.lit("] CLIENT "), short, F.lit(" outcome="), F.coalesce("outcome", F.lit("unknown")), F.lit(" duration="), took)
+    service = F.concat(F.lit("["), when, F.lit("] SERVICE "), short, F.lit(" injected="), F.coalesce("injected", F.lit(False)).cast("string"), F.lit(" duration="), took)
+    return log.withColumn("line", F.when(log_kind(F.col("kind")) == "client", client).otherwise(service))
+
+
+def turns(lines: DataFrame, session: str = "session") -> DataFrame:
+    """(session, turn_id, line_no, prompt, injection) of each prompt: the last injection before the next prompt.
+
+    lines: (session, line_no, prompt, injection); a line has a prompt, an injection, or neither. Injections before the
+    first prompt belong to none.
+    """
+    order = Window.partitionBy(session).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("turn_id", F.sum(F.col("prompt").isNotNull().cast("int")).over(order)).where("turn_id > 0")
+    return numbered.groupBy(session, "turn_id").agg(F.min("line_no").alias("line_no"), F.max("prompt").alias("prompt"), F.max_by("injection", F.when(F.col("injection").isNotNull(), F.col("line_no"))).alias("injection"))
+
+
+def transcript_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts and injections of transcript files: (session, line_no, prompt, injection).
+
+    A file's lines are numbered within its row, so a transcript is read whole, as one session is.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("session"), "value")
+    rows = files.select("session", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("r", F.try_parse_json("line")).where("r is not null")
+    content = F.try_variant_get("r", "$.message.content", "string")
+    many = F.from_json(F.when(content.startswith("["), content), "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(many, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n")
+    tool = F.coalesce(F.exists(many, lambda p: p["type"] == "tool_result"), F.lit(False))
+    said = F.nullif(X.trim(F.coalesce(joined, content)), F.lit(""))
+    user = (F.try_variant_get("r", "$.type", "string") == "user") & ~F.coalesce(F.try_variant_get("r", "$.isMeta", "boolean"), F.lit(False)) & ~tool
+    block = F.try_variant_get("r", "$.attachment.content", "string")
+    listed = F.array_join(F.from_json(F.when(block.startswith("["), block), "array<string>"), "\n")
+    block = F.coalesce(listed, block)
+    attached = (F.try_variant_get("r", "$.type", "string") == "attachment") & (F.try_variant_get("r", "$.attachment.type", "string") == "hook_additional_context") & block.contains("<retrieved-memory")
+    return rows.select("session", "line_no", F.when(user, X.clean_prompt(said)).alias("prompt"), F.when(attached, block).alias("injection"))

@@ -1,0 +1,196 @@
+"""Settings with defaults, overrides and validation; all errors are reported at once."""
+
+from __future__ import annotations
+
+import copy
+import json
+import math
+import os
+import re
+from typing import Any
+
+# Default settings.
+DEFAULTS: dict[str, Any] = {
+    "enabled": True,
+    "corpus": {
+        "roots": ["."],
+        "allow": ["**/*.md"],
+        "deny": ["**/.git/**", "**/node_modules/**", "**/logs/**", "**/*.log", "**/.env", "**/.env.*", "**/*secret*", "**/*secret*/**", "**/*token*", "**/*token*/**", "**/*credential*", "**/*credential*/**", "**/*password*", "**/*password*/**", "**/*.pem", "**/*.key", "**/*.bak"],
+        "maxFileBytes": 524288,
+    },
+    "chunking": {"targetTokens": 350, "minTokens": 40, "maxTokens": 500, "overlapRatio": 0.15},
+    "embedder": {"provider": "local-onnx", "dimension": 384, "batchSize": 16},
+    "retrieval": {
+        "pipeline": ["denseRetrieve", "bm25Retrieve", "rrfFuse", "freeGates", "assemble"],
+        "topK": 5,
+        "bm25TopK": 10,
+        "rrfK": 60,
+        "bm25AdmitTopN": 2,
+        "threshold": 0.35,
+        "maxTotalTokens": 1500,
+        "chunkTokens": 350,
+        "recencyWeight": 0.05,
+        "tierPenalties": {"session": 0.05},
+    },
+    "service": {"host": "127.0.0.1", "port": 37537, "timeoutMs": 1000},
+    "freshness": {"debounceMs": 1000, "sweepIntervalMs": 300000},
+    "filter": {"provider": "none", "model": "bge-reranker-base", "dtype": "q8", "cacheDir": "models", "maxPassageTokens": 128, "threshold": 0.5, "keepK": 5},
+}
+
+# Bounds and defaults of what a caller of the recall tool may override.
+TOOL_DEFAULTS = {"topK": 10, "bm25TopK": 15, "maxTotalTokens": 3000}
+TOOL_BOUNDS = {"topK": (1, 25), "bm25TopK": (1, 25), "maxTotalTokens": (1, 6000)}
+
+#: Settings that the command line may change.
+EDITABLE = ["enabled", "retrieval.topK", "retrieval.bm25TopK", "retrieval.rrfK", "retrieval.bm25AdmitTopN", "retrieval.threshold", "retrieval.maxTotalTokens", "retrieval.chunkTokens", "retrieval.recencyWeight", "filter.provider", "filter.threshold", "filter.keepK", "freshness.debounceMs", "freshness.sweepIntervalMs"]
+
+
+class ConfigError(ValueError):
+    pass
+
+
+def merged(base: Any, over: Any) -> Any:
+    """Mappings merge key by key; anything else, lists included, replaces."""
+    if isinstance(base, dict) and isinstance(over, dict):
+        return {k: merged(base[k], over[k]) if k in base and k in over else copy.deepcopy(over.get(k, base.get(k))) for k in [*base, *(k for k in over if k not in base)]}
+    return copy.deepcopy(over)
+
+
+def at(config: dict, path: str) -> Any:
+    for key in path.split("."):
+        config = config[key]
+    return config
+
+
+def replaced(config: dict, path: str, value: Any) -> dict:
+    out = copy.deepcopy(config)
+    *heads, last = path.split(".")
+    here = out
+    for key in heads:
+        here = here.setdefault(key, {})
+    here[last] = value
+    return out
+
+
+def _whole(v: Any, low: int) -> bool:
+    return isinstance(v, int) and not isinstance(v, bool) and v >= low
+
+
+def _number(v: Any) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+
+
+def errors(c: dict) -> list[str]:
+    rules: list[tuple[str, Any, str]] = [
+        ("enabled", lambda v: isinstance(v, bool), "a boolean"),
+        ("corpus.roots", lambda v: isinstance(v, list) and v, "a list that is not empty"),
+        ("corpus.allow", lambda v: isinstance(v, list), "a list"),
+        ("corpus.deny", lambda v: isinstance(v, list), "a list"),
+        ("retrieval.pipeline", lambda v: isinstance(v, list), "a list"),
+        ("retrieval.bm25AdmitTopN", lambda v: _whole(v, 0), "a whole number from 0"),
+        ("retrieval.tierPenalties", lambda v: isinstance(v, dict) and all(_number(x) and x >= 0 for x in v.values()), "a mapping to numbers from 0"),
+        ("embedder.provider", lambda v: v == "local-onnx", "local-onnx"),
+        ("service.host", lambda v: isinstance(v, str) and v, "a name"),
+        ("service.port", lambda v: _whole(v, 1) and v <= 65535, "a port"),
+        ("filter.provider", lambda v: v in ("none", "rerank"), "none or rerank"),
+        ("filter.maxPassageTokens", lambda v: _whole(v, 64) and v <= 256, "a whole number from 64 to 256"),
+        ("chunking.maxTokens", lambda v: _whole(v, c["chunking"]["targetTokens"] if _whole(c["chunking"]["targetTokens"], 1) else 1), "a whole number from targetTokens"),
+    ]
+    rules += [(p, lambda v: _whole(v, 1), "a whole number from 1") for p in ("corpus.maxFileBytes", "chunking.targetTokens", "embedder.dimension", "retrieval.topK", "retrieval.bm25TopK", "retrieval.rrfK", "service.timeoutMs")]
+    rules += [(p, lambda v: _whole(v, 0), "a whole number from 0") for p in ("freshness.debounceMs", "freshness.sweepIntervalMs")]
+    if c["filter"].get("provider") == "rerank":
+        rules += [
+            ("filter.model", lambda v: isinstance(v, str) and v, "a name"),
+            ("filter.dtype", lambda v: v == "q8", "q8"),
+            ("filter.cacheDir", lambda v: isinstance(v, str) and v, "a path"),
+            ("filter.threshold", lambda v: _number(v) and 0 <= v <= 1, "a number from 0 to 1"),
+            ("filter.keepK", lambda v: _whole(v, 1) and v <= c["retrieval"]["topK"], "a whole number from 1 to topK"),
+        ]
+    return [f"{path} must be {what}" for path, ok, what in rules if not ok(at(c, path))]
+
+
+def validated(config: dict) -> dict:
+    if found := errors(config):
+        raise ConfigError("; ".join(found))
+    return config
+
+
+def make(overrides: dict | None = None) -> dict:
+    return validated(merged(DEFAULTS, overrides or {}))
+
+
+def load(path: str) -> dict:
+    """Settings of a file, or the defaults where there is none."""
+    if not os.path.exists(path):
+        return make()
+    with open(path, encoding="utf-8") as f:
+        return make(json.load(f))
+
+
+def save(config: dict, path: str) -> None:
+    """Write valid settings, readable by their owner alone, in one step."""
+    validated(config)
+    os.makedirs(os.path.dirname(path) or ".", mode=0o700, exist_ok=True)
+    part = f"{path}.{os.getpid()}.tmp"
+    with os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
+        json.dump(config, f, indent=2)
+    os.replace(part, path)
+
+
+def is_sensitive(key: str) -> bool:
+    """Whether a setting's name says that its value is a secret; counts of tokens are none."""
+    name = re.sub(r"[^a-z0-9]", "", key.lower())
+    if any(w in name for w in ("secret", "password", "passwd", "credential", "apikey", "privatekey", "authorization")):
+        return True
+    return "token" in name and not name.endswith("tokens")
+
+
+def parse_value(current: Any, text: str) -> Any:
+    """A setting's new value, of the type that it has."""
+    if isinstance(current, bool):
+        if text not in ("true", "false"):
+            raise ConfigError("true or false is needed")
+        return text == "true"
+    if isinstance(current, (int, float)):
+        try:
+            value = float(text)
+        except ValueError as e:
+            raise ConfigError("a number is needed") from e
+        if not math.isfinite(value):
+            raise ConfigError("a number is needed")
+        return int(value) if value == int(value) else value
+    return text
+
+
+def set_value(config: dict, path: str, text: str) -> dict:
+    if path not in EDITABLE:
+        raise ConfigError(f"{path} cannot be set here")
+    return validated(replaced(config, path, parse_value(at(config, path), text)))
+
+
+def edit_list(config: dict, which: str, action: str, glob: str, force: bool = False) -> dict:
+    """Add a glob to corpus.allow or corpus.deny or remove it; default deny globs go only by force."""
+    globs = at(config, f"corpus.{which}")
+    same = [g for g in globs if g.lower() == glob.lower()]
+    if action == "add":
+        return config if same else replaced(config, f"corpus.{which}", [*globs, glob])
+    if which == "deny" and not force and glob.lower() in [g.lower() for g in DEFAULTS["corpus"]["deny"]]:
+        raise ConfigError(f"{glob} is a default deny glob")
+    return replaced(config, f"corpus.{which}", [g for g in globs if g not in same])
+
+
+def clamped(overrides: dict) -> dict:
+    """Tool overrides floored and kept within bounds; what is no number is left out."""
+    out = {}
+    for key, (low, high) in TOOL_BOUNDS.items():
+        try:
+            value = float(overrides.get(key, TOOL_DEFAULTS[key]))
+        except (TypeError, ValueError):
+            value = math.nan
+        if math.isfinite(value):
+            out[key] = int(min(max(math.floor(value), low), high))
+    return out
+
+
+def with_overrides(config: dict, overrides: dict) -> dict:
+    return merged(config, {"retrieval": clamped(overrides)})
