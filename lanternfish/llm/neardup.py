@@ -10,9 +10,12 @@ candidates, and candidates count as linked only after their similarity is comput
 Linked: the probability Jaccard similarity, or the plain Jaccard similarity of the two sets of shingles, is at
 least the threshold. Classes are the connected components of the links; equal texts are always of one class.
 
-Scale. Equal texts are collapsed first, reduced before the shuffle. Within a bucket no pairs of all members are made: in
-round r the members meet up to 8^r representatives that they share no class with, these leave the bucket, and
-rounds go on until each bucket is one class or empty, so no pair of different classes stays untested.
+Scale. Equal texts are collapsed first, reduced before the shuffle. Within a bucket no pairs of all members are made. In
+two rounds the members meet one representative, the text with most company in all its buckets, and members linked
+to it are of one class. Small buckets that still hold several classes then meet up to 8 and 64 representatives of
+other classes, until each bucket is one class or empty. For large ones, prefix filtering finds every pair of sets of
+different classes that can reach the threshold (two bags whose probability Jaccard alone reaches it could be missed
+there, if neither is a representative). So no pair of different classes stays untested for want of a round.
 Texts move once, for texts with a candidate; the keys of those are broadcast only up to ``BROADCAST_KEYS``.
 
 Defined results: null counts as the empty text; a text without words is in a class with equal texts only;
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpointed
 from .components import components
@@ -41,6 +45,8 @@ BANDS, ROWS = 32, 6
 GROUP_BYTES = 3 << 20
 BROADCAST_KEYS = 200_000
 MAX_ROUNDS = 12
+#: Buckets with more texts that are of several classes after two rounds go to prefix filtering.
+SMALL = 32
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -238,8 +244,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     signed = checkpointed(docs.select("text", "doc_id").mapInArrow(_sign(bands, rows), f"doc_id {id_type}, key binary, bands array<bigint>"))
     nodes = checkpointed(signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     members = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = checkpointed(members.join(shared, "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # how many texts a text meets in its buckets: most for the one in the middle of a group
+    met = checkpointed(members.join(shared, "bucket"))
+    central = met.groupBy("key").agg(F.sum("n").alias("central"))
+    active = checkpointed(met.select("bucket", "key").join(central, "key"))
     found = None if active.isEmpty() else _links(docs, active, threshold)
     if found is None:
         classes = nodes.select("key", "copies", F.col("key").alias("root"), F.lit(0).cast("bigint").alias("links"))
@@ -272,11 +281,10 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
     texts = _texts_of(docs, active.select("key").distinct())
     tested = label = None
     here = active.withColumn("root", F.col("key"))
-    for r in range(MAX_ROUNDS):
-        salt = F.pmod(F.xxhash64("key"), F.lit(8**r))
-        reps = here.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("key", "root")).alias("rep")).select("bucket", F.col("rep.key").alias("rep"), F.col("rep.root").alias("rep_root"))
-        met = here.join(reps, "bucket").where("root <> rep_root")
-        pairs = met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct()
+
+    def test(pairs: DataFrame) -> None:
+        """Verify pairs that have not met yet, and bring the labels up to date."""
+        nonlocal tested, label
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
@@ -286,19 +294,64 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
         new = done.where("linked")
         if not new.isEmpty():
             label = _joined(label, new)
-        left = here.select("bucket", "key").join(reps.select("bucket", F.col("rep").alias("key")), ["bucket", "key"], "left_anti")
-        if label is not None:
-            left = left.join(label.withColumnRenamed("node", "key"), "key", "left")
-            left = left.select("bucket", "key", F.coalesce("root", "key").alias("root"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows (bucket, key, central) of buckets of more than one class, with their class and the bucket's rows."""
+        if label is None:
+            rows = rows.withColumn("root", F.col("key"))
         else:
-            left = left.withColumn("root", F.col("key"))
-        mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        here = checkpointed(left.join(mixed, "bucket"))
+            rows = rows.join(label.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "central", F.coalesce("root", "key").alias("root"))
+        of = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        return checkpointed(rows.join(of.select("bucket", "n"), "bucket"))
+
+    for r in range(MAX_ROUNDS):
+        salt = F.pmod(F.xxhash64("key"), F.lit(8 ** max(r - 1, 0)))
+        reps = here.groupBy("bucket", salt.alias("salt")).agg(F.max(F.struct("central", "key", "root")).alias("rep")).select("bucket", F.col("rep.key").alias("rep"), F.col("rep.root").alias("rep_root"))
+        met = here.join(reps, "bucket").where("root <> rep_root")
+        test(met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct())
+        here = mixed(here.select("bucket", "key", "central").join(reps.select("bucket", F.col("rep").alias("key")), ["bucket", "key"], "left_anti"))
+        if r == 1 and not (large := here.where(F.col("n") > SMALL)).isEmpty():
+            test(_overlapping(large.select("key", "root").distinct(), texts, threshold))
+            here = mixed(here.where(F.col("n") <= SMALL).select("bucket", "key", "central"))
         if here.isEmpty():
             return None if label is None else (tested.where("linked").select("a", "b"), label)
     raise RuntimeError(f"buckets were not settled in {MAX_ROUNDS} rounds")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for g in grouped([t.encode() for t in batch.column(0).to_pylist()]):
+            doc, h, _ = bags(g)
+            cut = np.searchsorted(doc, np.arange(len(g) + 1))
+            out += [h[x:y].view(np.int64) for x, y in zip(cut, cut[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "shingles"])
+
+
+def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes (key, root) of different classes that may reach the threshold, by prefix filtering.
+
+    Shingles are ranked from rare to common. Two sets that reach the threshold share a shingle so early in both of their
+    rankings that what follows it can still hold the overlap they need, so no pair of sets is lost; near copies
+    that have drifted apart share only the common shingles of their group, which come late.
+    """
+    t = threshold
+    sets = nodes.join(texts, "key").select("text", "key", "root").mapInArrow(_sets, "key binary, root binary, shingles array<bigint>")
+    flat = checkpointed(sets.select("key", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("h")))
+    often = flat.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    shared = flat.join(often, "h", "left").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("f", F.lit(1)), "h")) - 1).where("f > 1")
+    whole = F.ceil(t * F.col("n") - 1e-9)
+    early = shared.where(F.col("i") <= F.col("n") - whole)
+    least = F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9)
+    x = early.where(F.col("i") <= F.col("n") - least).select("h", *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "i")])
+    y = early.select("h", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "i")])
+    need = F.ceil(t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    fits = (F.col("x_root") != F.col("y_root")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") >= t * F.col("y_n") - 1e-9)
+    fits = fits & (F.col("x_n") - F.col("x_i") >= need) & (F.col("y_n") - F.col("y_i") >= need)
+    pairs = x.withColumnRenamed("h", "_h").join(y, (F.col("_h") == F.col("h")) & fits)
+    return pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
+
+
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """One row (key, text) for each key."""
     keyed = docs.select(F.unhex(F.md5("text")).alias("key"), "text")
