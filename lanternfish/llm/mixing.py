@@ -165,7 +165,8 @@ def mixed_parts(docs: DataFrame, text: str = "text", source: str = "source", ide
     pieces = packed.where("size > 0").select("doc_id", "source_no", "start", "size", *carry, F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     pieces = pieces.withColumn("from_word", low - F.col("start")).withColumn("n_words", high - low)
-    return packed, pieces.join(taken_blocks(spark, sources, seed), ["source_no", "block"]), listed
+    # both sides grow with the words: few runs make many slots, which size estimates don't see
+    return packed, pieces.join(taken_blocks(spark, sources, seed).hint("merge"), ["source_no", "block"]), listed
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
