@@ -42,7 +42,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Texts of about so many bytes are hashed at once.
-GROUP_BYTES = 3 << 20
+GROUP_BYTES = 1 << 20
+#: Rows of an Arrow batch that are unpacked at once.
+ROWS_AT_ONCE = 500
 BROADCAST_KEYS = 200_000
 MAX_ROUNDS = 12
 #: Buckets with more texts that are of several classes after two rounds go to prefix filtering.
@@ -71,7 +73,7 @@ _KEPT: dict[int, np.ndarray] = {}
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     kept = _KEPT.get(int(base))
     if kept is None or len(kept) < n:
-        kept = np.full(max(n, 4 << 20), base, dtype=np.uint64)
+        kept = np.full(max(n, GROUP_BYTES + (1 << 18)), base, dtype=np.uint64)
         kept[0] = 1
         kept = _KEPT[int(base)] = np.multiply.accumulate(kept)
     return kept[:n]
@@ -186,10 +188,16 @@ def grouped(raws: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
+def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(a, ROWS_AT_ONCE)
+
+
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD)
-        for batch in batches:
+        for batch in cut_up(batches):
             keys, out = [], []
             raws = [(t or "").encode() for t in batch.column(0).to_pylist()]
             for g in grouped(raws):
@@ -215,7 +223,7 @@ def _verify(threshold: float):
         return [max(bag_similarity(*own[at[a]], *own[at[b]])) for a, b, _, _ in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut_up(batches):
             sims: list[float] = []
             group, size = [], 0
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -319,7 +327,7 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in cut_up(batches):
         out = []
         for g in grouped([t.encode() for t in batch.column(0).to_pylist()]):
             doc, h, _ = bags(g)
