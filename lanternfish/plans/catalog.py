@@ -134,7 +134,7 @@ def staleness_join(spark, d):
 def recency_tier_score(spark, d):
     rows = chunks_of(spark, d)
     boost, penalty = S.recency_boost(F.col("mtime"), NOW_MS, 0.05), S.tier_penalty(F.col("type"), {"session": 0.05})
-    return rows.select("id", S.rounded(boost).alias("boost"), penalty.alias("penalty"), S.rounded(0.5 + (boost - penalty)).alias("final_score"))
+    return rows.select("id", S.rounded(boost).alias("boost"), penalty.alias("penalty"), F.round(0.75 + (boost - penalty), 5).alias("final_score"))
 
 
 @query

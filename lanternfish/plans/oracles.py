@@ -254,7 +254,7 @@ ORACLE_SQL = {
     "drop_reasons": sql(gated(True), "select query_id, drop_reason, count(*) as n from gated where drop_reason is not null group by all"),
     "dedup_by_hash": sql([CHUNKS], "select arg_min(source, doc_id) as source, hash from chunks group by hash"),
     "staleness_join": sql([CHUNKS, LIVE], "select id, source, coalesce(mtime_ms > mtime, true) as stale from chunks left join live on s = source"),
-    "recency_tier_score": sql([CHUNKS, f"b as (select id, 0.05::double / (1 + greatest(0, ({NOW} - mtime) / 86400000.0::double) / 30) as boost, case when type = 'session' then 0.05::double else 0 end as penalty from chunks)"], "select id, round(boost, 6) as boost, penalty, round(0.5::double + (boost - penalty), 6) as final_score from b"),
+    "recency_tier_score": sql([CHUNKS, f"b as (select id, 0.05::double / (1 + greatest(0, ({NOW} - mtime) / 86400000.0::double) / 30) as boost, case when type = 'session' then 0.05::double else 0 end as penalty from chunks)"], "select id, round(boost, 6) as boost, penalty, round(0.75::double + (boost - penalty), 5) as final_score from b"),
     "budget_pack": sql(
         [CHUNKS, "items as materialized (select split_part(source, '/', 1) as src, doc_id // 1000 as part, doc_id, least(token_count, 350) as cost, row_number() over (partition by split_part(source, '/', 1), doc_id // 1000 order by doc_id) as i from chunks)",
          "pack as (select distinct src, part, 0::bigint as i, 0::bigint as used, 0::bigint as n, null::bigint as doc_id from items union all select x.src, x.part, x.i, case when used >= 1500 or (used + cost > 1500 and n > 0) then used else used + cost end, case when used >= 1500 or (used + cost > 1500 and n > 0) then n else n + 1 end, case when used >= 1500 or (used + cost > 1500 and n > 0) then null else x.doc_id end from pack k join items x on x.src = k.src and x.part = k.part and x.i = k.i + 1)"],
