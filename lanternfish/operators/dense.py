@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import scores as S
@@ -21,7 +22,7 @@ MAX_QUERIES = 1_000_000
 TILE = 1 << 22
 
 
-def _nearest(query_ids: list, matrix: np.ndarray, top_k: int):
+def _nearest(query_ids: list, matrix: np.ndarray, top_k: int, types: tuple[pa.DataType, pa.DataType]):
     def best(ids: np.ndarray, vectors: np.ndarray, held: list) -> list:
         rows = max(1, TILE // max(1, matrix.shape[1] * len(vectors)))
         for a in range(0, len(matrix), rows):
@@ -52,7 +53,7 @@ def _nearest(query_ids: list, matrix: np.ndarray, top_k: int):
         if held is not None:
             n = [len(i) for i, _ in held]
             owner = [q for q, c in zip(query_ids, n) for _ in range(c)]
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([i for i, _ in held]).tolist()), pa.array(np.concatenate([d for _, d in held]))], names=["query_id", "id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, types[0]), pa.array(np.concatenate([i for i, _ in held]).tolist(), types[1]), pa.array(np.concatenate([d for _, d in held]))], names=["query_id", "id", "distance"])
 
     return run
 
@@ -65,8 +66,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, top_k: int) -> DataFrame:
     asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
     if len(asked) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries")
-    types = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()]
-    schema = f"query_id {types[0]}, id {types[1]}, distance double"
+    kinds = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+    types = to_arrow_type(kinds[0]), to_arrow_type(kinds[1])
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, distance double"
     dim = len(asked[0]["vector"]) if asked else 1
     step = max(1, BLOCK_BYTES // (8 * dim))
     parts = None
@@ -76,7 +78,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, top_k: int) -> DataFrame:
             found = vectors.sparkSession.createDataFrame([], schema)
         else:
             matrix = np.array([r["vector"] for r in block], dtype=np.float64)
-            found = vectors.select("id", "vector").mapInArrow(_nearest([r["query_id"] for r in block], matrix, top_k), schema)
+            found = vectors.select("id", "vector").mapInArrow(_nearest([r["query_id"] for r in block], matrix, top_k, types), schema)
         parts = found if parts is None else parts.unionByName(found)
     parts = parts.withColumn("distance", F.round("distance", 9))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
