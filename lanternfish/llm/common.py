@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a partition below which a checkpoint is read in fewer tasks.
+SMALL_PARTITION = 20_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint that is read by no more tasks than its rows need: for the small tables of iterative algorithms.
+
+    Every task of a later shuffle leaves files of its own, so many tasks with few rows cost disk and time.
+    """
+    done = checkpointed(df)
+    return done.coalesce(max(1, min(done.rdd.getNumPartitions(), -(-done.count() // SMALL_PARTITION))))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that no table refers to any more.
+
+    Its cleaner acts when the driver's JVM collects garbage, which between rounds may not happen for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import settled
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_low(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x"))
-        e = checkpointed(small.select("x.u", "x.v").where("u <> v").distinct())
+        e = settled(small.select("x.u", "x.v").where("u <> v").distinct())
         if _are_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

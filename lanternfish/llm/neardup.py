@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, release, settled
 from .components import components
 
 SHINGLE = 5
@@ -45,6 +44,8 @@ BANDS, ROWS = 32, 6
 GROUP_BYTES = 1 << 20
 #: Rows of an Arrow batch that are unpacked at once.
 ROWS_AT_ONCE = 500
+#: Slots in which prefix filtering counts shingles, to rank them.
+COUNTERS = 1 << 18
 BROADCAST_KEYS = 200_000
 MAX_ROUNDS = 12
 #: Buckets with more texts that are of several classes after two rounds go to prefix filtering.
@@ -254,9 +255,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # how many texts a text meets in its buckets: most for the one in the middle of a group
-    met = checkpointed(members.join(shared, "bucket"))
+    met = settled(members.join(shared, "bucket"))
     central = met.groupBy("key").agg(F.sum("n").alias("central"))
-    active = checkpointed(met.select("bucket", "key").join(central, "key"))
+    active = settled(met.select("bucket", "key").join(central, "key"))
     found = None if active.isEmpty() else _links(docs, active, threshold)
     if found is None:
         classes = nodes.select("key", "copies", F.col("key").alias("root"), F.lit(0).cast("bigint").alias("links"))
@@ -281,7 +282,7 @@ def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame | None:
     moved = components(edges.select("u", "v").distinct()).select(F.col("node").alias("old"), F.col("root").alias("new"))
     kept = label.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = moved.join(label, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
-    return checkpointed(kept.unionByName(fresh))
+    return settled(kept.unionByName(fresh))
 
 
 def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
@@ -297,7 +298,7 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         both = one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-        done = checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a binary, b binary, sim double, linked boolean"))
+        done = settled(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a binary, b binary, sim double, linked boolean"))
         tested = done if tested is None else tested.unionByName(done)
         new = done.where("linked")
         if not new.isEmpty():
@@ -310,7 +311,7 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
         else:
             rows = rows.join(label.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "central", F.coalesce("root", "key").alias("root"))
         of = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        return checkpointed(rows.join(of.select("bucket", "n"), "bucket"))
+        return settled(rows.join(of.select("bucket", "n"), "bucket"))
 
     for r in range(MAX_ROUNDS):
         salt = F.pmod(F.xxhash64("key"), F.lit(8 ** max(r - 1, 0)))
@@ -321,6 +322,7 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
         if r == 1 and not (large := here.where(F.col("n") > SMALL)).isEmpty():
             test(_overlapping(large.select("key", "root").distinct(), texts, threshold))
             here = mixed(here.where(F.col("n") <= SMALL).select("bucket", "key", "central"))
+        release(docs.sparkSession)
         if here.isEmpty():
             return None if label is None else (tested.where("linked").select("a", "b"), label)
     raise RuntimeError(f"buckets were not settled in {MAX_ROUNDS} rounds")
@@ -336,6 +338,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "shingles"])
 
 
+def _prefixes(often_of, threshold: float):
+    """The shingles that come early enough in a set's ranking from rare to common: (key, root, n, place, shingle).
+
+    Rarity is counted in COUNTERS slots by hash; any ranking that all sets share loses nothing, and this one is close to
+    the exact one. A shingle that is alone in its slot is in no other set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = often_of.value
+        for batch in cut_up(batches):
+            rows, n, place, shingle = [], [], [], []
+            for k, hashes in enumerate(batch.column(2).to_pylist()):
+                h = np.array(hashes, dtype=np.int64)
+                if not len(h):
+                    continue
+                f = often[h & (COUNTERS - 1)]
+                last = len(h) - int(np.ceil(threshold * len(h) - 1e-9))
+                first = np.lexsort((h, f))[: last + 1]
+                met = np.flatnonzero(f[first] > 1)
+                rows.append(np.full(len(met), k))
+                n.append(np.full(len(met), len(h), dtype=np.int32))
+                place.append(met.astype(np.int32))
+                shingle.append(h[first[met]])
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                cols = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(c)) for c in (n, place, shingle))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "root", "n", "i", "h"])
+
+    return run
+
+
 def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes (key, root) of different classes that may reach the threshold, by prefix filtering.
 
@@ -344,12 +377,13 @@ def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     that have drifted apart share only the common shingles of their group, which come late.
     """
     t = threshold
-    sets = nodes.join(texts, "key").select("text", "key", "root").mapInArrow(_sets, "key binary, root binary, shingles array<bigint>")
-    flat = checkpointed(sets.select("key", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("h")))
-    often = flat.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    shared = flat.join(often, "h", "left").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("f", F.lit(1)), "h")) - 1).where("f > 1")
-    whole = F.ceil(t * F.col("n") - 1e-9)
-    early = shared.where(F.col("i") <= F.col("n") - whole)
+    sets = settled(nodes.join(texts, "key").select("text", "key", "root").mapInArrow(_sets, "key binary, root binary, shingles array<bigint>"))
+    # bounded: COUNTERS counts
+    slots = F.transform("shingles", lambda h: h.bitwiseAND(COUNTERS - 1))
+    often = np.zeros(COUNTERS, dtype=np.int64)
+    for r in sets.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").toLocalIterator():
+        often[r["slot"]] = r["n"]
+    early = settled(sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(often), t), "key binary, root binary, n int, i int, h bigint"))
     least = F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9)
     x = early.where(F.col("i") <= F.col("n") - least).select("h", *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "i")])
     y = early.select("h", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "i")])
@@ -363,10 +397,10 @@ def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """One row (key, text) for each key."""
     keyed = docs.select(F.unhex(F.md5("text")).alias("key"), "text")
-    keys = checkpointed(keys)
+    keys = settled(keys)
     side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     found = keyed.join(side, "key")
-    return checkpointed(found.dropDuplicates(["key"]))
+    return settled(found.dropDuplicates(["key"]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
