@@ -440,7 +440,7 @@ def decode(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
     heads, owner, ends, slow = [], [], [], []
     for d, (m, info) in enumerate(zip(media, infos)):
         points = info["points"]
-        if sum(c for _, _, c in points) == info["samples"] and all(a[0] + a[2] == b[0] for a, b in zip(points, points[1:])):
+        if points and points[0][:2] == (0, 0) and sum(c for _, _, c in points) == info["samples"] and all(a[0] + a[2] == b[0] for a, b in zip(points, points[1:])):
             at = [int(base[d]) + info["frames_at"] + p[1] for p in points]
             heads += [frame_head(data, b) for b in at]
             ends += [*at[1:], int(base[d]) + len(m)]

@@ -186,19 +186,21 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     between. n_chars, where docs have it, is counted again. Documents that the mix leaves out go. Texts move once, to
     the plan made without them.
     """
-    keyed = docs.withColumn("_row", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select("doc_id", "source", "text", F.struct(*columns).alias("_doc"), F.md5(F.to_json(F.struct(*columns))).alias("_row"))
     _, parts, _ = mixed_parts(keyed.select("doc_id", "source", "text", "_row"), carry=["_row"], **how)
     epochs = parts.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("epoch"))
     spans = F.array_sort(F.collect_list(F.struct("from_word", "n_words")))
     taken = epochs.groupBy("_row", "source_no", "start", "size", "epoch").agg(spans.alias("_spans"), F.sum("n_words").alias("_n"))
     taken = taken.select("_row", "_spans", (F.col("_n") == F.col("size")).alias("_whole"))
-    met = keyed.dropDuplicates(["_row"]).join(taken, "_row")
-    tokens = words(F.col("text"))
+    met = keyed.select("_row", "_doc").dropDuplicates(["_row"]).join(taken, "_row")
+    met = met.withColumn("_words", F.when(~F.col("_whole"), words(F.col("_doc.text"))))
     part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
-    out = met.withColumn("_words", F.when(~F.col("_whole"), tokens)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
+    met = met.withColumn("_text", F.when(F.col("_whole"), F.col("_doc.text")).otherwise(part))
+    made = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return met.select(*[made.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

@@ -408,9 +408,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     classes = near_duplicates(docs)
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
     stays = first.select(F.col("x.key").alias("_stay"), F.col("x.doc_id").alias("_id"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    kept = keyed.join(stays, (F.col("_key") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    keyed = docs.select(whole, F.col("doc_id").alias("_own"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("_key"))
+    kept = keyed.join(stays, (F.col("_key") == F.col("_stay")) & F.col("_own").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_key"]).select("_doc.*")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

@@ -153,9 +153,9 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     Two passes over the texts, one to fit and one to filter, and no join of the verdicts to the texts.
     """
-    stats = with_stats(docs.select("text"))
-    model = fit(stats.drop("text"))
-    return judged(with_stats(docs), model).where("kept").select(*docs.columns)
+    model = fit(with_stats(docs.select("text")).drop("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text"))
+    return judged(with_stats(whole), model).where("kept").select("_doc.*")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
