@@ -120,7 +120,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> dict:
         ranks = np.searchsorted(values, np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower"))
         even = np.linspace(0, len(middles) - 1, BINS).astype(int)
         cuts.append(middles[np.unique(np.r_[ranks[ranks < len(middles)], even])] if len(middles) else middles)
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # either class weighs half
+    # the rarer class weighs more, but few examples of it do not outweigh all others
+    balance = np.sqrt(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
     margin, paths = np.zeros(len(y)), {}
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
