@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference_pairs": preferences.OP3_SQL,
+    "op4_quality_rules": quality.OP4_SQL,
     "op5_warc_fixity": fixity.OP5_SQL,
 }

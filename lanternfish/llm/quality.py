@@ -161,4 +161,32 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 def op4_query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = checkpointed(with_stats(docs).drop("text"))
-    return judged(stats, fit(stats)).select("doc_id", *STATS[:5], "base_failed", "kept", "quality_prob")
+    out = judged(stats, fit(stats)).withColumn("quality_prob", F.round("quality_prob", 5))
+    return out.select("doc_id", *STATS[:5], "base_failed", "kept", "quality_prob")
+
+
+OP4_SQL = r"""
+with recursive d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+win as (select r, i, md5(array_to_string(ws[i:i + 7], chr(0))) as h from w, unnest(range(1, len(ws) - 6)) as u(i) where len(ws) >= 8),
+again as (select r, i, lead(i) over (partition by r order by i) as nxt from (select *, count(*) over (partition by r, h) as c from win) where c > 1),
+rep as (select r, sum(least(8, coalesce(nxt - i, 8)))::bigint as n_repeat_words from again group by r),
+s as (select r, doc_id, len(ws) as n, list_sum(list_transform(ws, lambda x: length(x))) as chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as sym, len(ls) - len(list_distinct(ls)) as dup, coalesce(n_repeat_words, 0) as rp,
+    len(ls) as nl, len(regexp_extract_all(t, '\p{Lu}')) as up, len(regexp_extract_all(t, '!')) as ex, len(regexp_extract_all(t, '[.!?。]')) as st, len(list_distinct(ws)) as di from w left join rep using (r)),
+f as (select r, doc_id, n, coalesce(chars, 0)::bigint as chars, sym, dup, rp, nl, up, ex, st, di from s),
+v as materialized (select *, [case when 5 * sym > n then -1 else 0 end, case when 2 * up > chars then -1 else 0 end, case when 5 * ex > n then -1 else 0 end, case when 100 * dup > 30 * nl then -1 else 0 end,
+    case when 100 * rp > 30 * n then -1 else 0 end, case when chars < 2 * n or chars > 15 * n then -1 else 0 end,
+    case when 5 * sym > n or 2 * up > chars then -1 when n >= 20 and 50 * sym <= n and 5 * up <= chars and 20 * ex <= n then 1 else 0 end,
+    case when n >= 20 and (150 * st < n or st > 2 * n) then -1 else 0 end, case when n >= 20 and 20 * di < n then -1 else 0 end] as votes from f),
+p as materialized (select votes, count(*)::double as c from v group by votes),
+em as (
+  select 0 as i, list_transform(range(9), lambda x: 0.8::double) as acc, 0.5::double as good
+  union all
+  select i + 1, list_transform(range(1, 10), lambda j: least(greatest((list_sum(list_transform(q, lambda z: case when z.votes[j] = 0 then 0 when z.votes[j] > 0 then z.c * z.post else z.c * (1 - z.post) end)) + 8)
+      / (list_sum(list_transform(q, lambda z: case when z.votes[j] = 0 then 0 else z.c end)) + 10), 0.5), 0.995)),
+    least(greatest((list_sum(list_transform(q, lambda z: z.c * z.post)) + 1) / (list_sum(list_transform(q, lambda z: z.c)) + 2), 0.5), 0.995)
+  from (select i, list({'votes': votes, 'c': c, 'post': 1 / (1 + exp(-(ln(good / (1 - good)) + list_sum(list_transform(range(1, 10), lambda j: votes[j] * ln(acc[j] / (1 - acc[j])))))))}) as q from em, p where i < 100 group by i)),
+m as (select arg_max(acc, i) as acc, arg_max(good, i) as good from em),
+j as (select v.*, 1 / (1 + exp(-(ln(good / (1 - good)) + list_sum(list_transform(range(1, 10), lambda k: votes[k] * ln(acc[k] / (1 - acc[k]))))))) as post, n < 20 or 100 * rp > 30 * n as failed from v, m)
+select doc_id, n as n_words, chars as word_chars, sym as n_symbols, dup as n_dup_lines, rp as n_repeat_words, failed as base_failed, not failed and post >= 0.5 as kept, round(post, 5) as quality_prob from j
+"""
