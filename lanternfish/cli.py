@@ -1,4 +1,4 @@
-"""Command line: index, query, retrieve, recall, toc, inspect, eval and config.
+"""Command line: index, watch, serve, query, retrieve, recall, toc, inspect, eval and config.
 
     python -m lanternfish.cli --config config.json index
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import audit, embed, evaluation, index, rerank, stages
 from .plans import config as settings
+from .service import server
 from .sources.corpus import read_corpus
 from .streaming import freshness
 
@@ -62,6 +63,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--format", choices=["text", "json"], default="text")
     sub = p.add_subparsers(dest="verb", required=True)
     sub.add_parser("index")
+    sub.add_parser("watch")
+    sub.add_parser("serve")
     for verb in ("query", "retrieve", "recall"):
         v = sub.add_parser(verb)
         v.add_argument("prompt", nargs="+")
@@ -103,6 +106,17 @@ def main(argv: list[str] | None = None) -> int:
 
     if a.verb == "index":
         print(json.dumps(freshness.build_index(spark, config, store, embedder_of(config), now_ms)))
+    elif a.verb == "watch":
+        every = config["freshness"]["sweepIntervalMs"] or 300_000
+        freshness.sweep_stream(spark, lambda: freshness.build_index(spark, settings.load(a.config), store, embedder_of(config), int(time.time() * 1000)), every, f"{a.index}/sweep").awaitTermination()
+    elif a.verb == "serve":
+
+        def answer(query: str, over: dict) -> str:
+            asked_ = settings.with_overrides(config, config["retrieval"] | over)
+            ctx = stages.run_pipeline(retrieval_context(spark, asked_, store, [query], int(time.time() * 1000)))
+            return ctx.assembled.first()["additional_context"]
+
+        server.make_server(config["service"]["host"], config["service"]["port"], lambda: store.manifest() is not None, answer).serve_forever()
     elif a.verb == "inspect":
         if a.log:
             show(audit.read_log(spark, a.path).select(F.to_json("record")).limit(a.last))

@@ -69,3 +69,26 @@ class Policy:
     def column(self, relative: Column, absolute: Column) -> Column:
         denied = relative.rlike(self.deny) | absolute.rlike(self.deny)
         return ~denied & (relative.rlike(self.allow) | absolute.rlike(self.allow))
+
+
+def listing_roots(globs: list[str]) -> list[str]:
+    """The folders, relative to a root, below which every match of the globs lies; none within another.
+
+    A folder may hold one ``*``, where a glob goes on below a folder of any name.
+    """
+    found = []
+    for glob in globs:
+        parts, kept, stars = glob.split("/")[:-1], [], 0
+        for part in parts:
+            wild = any(c in part for c in "*?[{")
+            if wild and (part != "*" or stars):
+                break
+            stars += wild
+            kept.append(part)
+        while kept and kept[-1] == "*" and len(kept) == len(parts):
+            kept.pop()  # the last folder is any: list its parent
+        found.append("/".join(kept) or ".")
+    out = sorted(set(found), key=lambda f: (f.count("/"), f))
+    if "." in out:
+        return ["."]
+    return [f for f in out if not any(f != g and f.startswith(g + "/") for g in out)]

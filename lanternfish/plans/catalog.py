@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -512,5 +515,38 @@ def stream_debounce_sessions(spark, d):
     return freshness.debounced(table(spark, d, "events"), "user_id", quiet="6 hours")
 
 
+@query
+def stream_incremental_index(spark, d):
+    """Documents arrive in three files; each micro-batch merges its own into the chunks so far, the last state returns."""
+    folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents")
+    for i in range(3):
+        docs.where(F.pmod("doc_id", F.lit(3)) == i).write.mode("append").parquet(f"{folder}/in")
+    state = {"path": None}
+
+    def merge(batch: DataFrame, n: int) -> None:
+        new = tables.document_chunks(batch).select("id", "hash", "mtime")
+        if state["path"]:
+            old = spark.read.parquet(state["path"])
+            new = old.join(new, "id", "left_anti").unionByName(new)
+        path = f"{folder}/v{n}"
+        new.write.mode("overwrite").parquet(path)
+        state["path"] = path
+
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{folder}/cp").start().awaitTermination()
+    return spark.read.parquet(state["path"])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; of one's own only where it names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return tempfile.mkdtemp(prefix="lanternfish-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
 def flagship(spark, d):
     return hybrid_retrieve(spark, d)

@@ -314,5 +314,6 @@ ORACLE_SQL = {
     "service_client_join": sql([LOG], "select s.event_id, s.query_hash, c.outcome as client_outcome, c.duration_ms as client_ms from log s left join (select * from log where kind = 'client') c using (query_hash) where s.kind is distinct from 'client'"),
     "log_lines": sql([LOG], "select event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || case when kind = 'client' then '] CLIENT ' || substr(query_hash, 1, 12) || ' outcome=' || outcome else '] SERVICE ' || substr(query_hash, 1, 12) || ' injected=' || injected::varchar end || ' duration=' || duration_ms || 'ms' as line from log"),
     "turn_injection_asof": sql(["t as (select *, sum((role = 'user')::int) over (partition by conv_id order by turn rows unbounded preceding) as turn_id from conversations)"], "select conv_id as session, turn_id::bigint as turn_id, min(turn) as line_no, max(case when role = 'user' then text end) as prompt, arg_max(text, turn) filter (role = 'assistant') as injection from t where turn_id > 0 group by conv_id, turn_id"),
+    "stream_incremental_index": sql([CHUNKS], "select id, hash, mtime from chunks"),
     "stream_debounce_sessions": "select user_id, min(ts) as begins, max(ts) + interval 6 hour as ends, count(*) as n from (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as s from (select *, case when ts < lag(ts) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as b from events)) group by user_id, s",
 }

@@ -104,3 +104,8 @@ def test_globs(spark, glob, path, want):
     policy = globs.Policy([glob], [])
     assert policy.allows(path, "/root/" + path) == want
     assert one(spark, policy.column(F.col("t"), F.concat(F.lit("/root/"), F.col("t"))), t=path) == want
+
+
+def test_listing_roots():
+    assert globs.listing_roots(["memory/users/**/*.md", "memory/**/*.md", "skills/*/refs/*.md", "notes/*/*.md"]) == ["memory", "notes", "skills/*/refs"]
+    assert globs.listing_roots(["**/*.md", "a/b.md"]) == ["."]
