@@ -40,13 +40,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 SMALL_PARTITION = 20_000
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, rows: int = SMALL_PARTITION) -> DataFrame:
     """A checkpoint that is read by no more tasks than its rows need: for the small tables of iterative algorithms.
 
     Every task of a later shuffle leaves files of its own, so many tasks with few rows cost disk and time.
     """
     done = checkpointed(df)
-    return done.coalesce(max(1, min(done.rdd.getNumPartitions(), -(-done.count() // SMALL_PARTITION))))
+    return done.coalesce(max(1, min(done.rdd.getNumPartitions(), -(-done.count() // rows))))
 
 
 def release(spark: SparkSession) -> None:

@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,16 @@ def crc8(data: bytes) -> int:
     return crc
 
 
-@lru_cache(None)
+_TABLES: dict = {}
+
+
 def crc_table(bits: int, poly: int) -> list[int]:
+    if (bits, poly) not in _TABLES:
+        _TABLES[bits, poly] = _crc_table(bits, poly)
+    return _TABLES[bits, poly]
+
+
+def _crc_table(bits: int, poly: int) -> list[int]:
     top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
     for b in range(256):
         crc = b << (bits - 8)
@@ -56,14 +63,16 @@ def crc_table(bits: int, poly: int) -> list[int]:
     return out
 
 
-@lru_cache(None)
 def crc16_places(size: int) -> np.ndarray:
     """What a byte adds to the CRC-16 when so many bytes follow it."""
+    if size in _TABLES:
+        return _TABLES[size]
     step = np.array(crc_table(16, 0x8005), dtype=np.uint16)
     out = np.empty((size, 256), dtype=np.uint16)
     out[0] = step
     for i in range(1, size):
         out[i] = (out[i - 1] << np.uint16(8)) ^ step[out[i - 1] >> np.uint16(8)]
+    _TABLES[size] = out
     return out
 
 

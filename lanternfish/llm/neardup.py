@@ -46,6 +46,7 @@ GROUP_BYTES = 1 << 20
 ROWS_AT_ONCE = 500
 #: Slots in which prefix filtering counts shingles, to rank them.
 COUNTERS = 1 << 18
+TEXTS_PER_TASK = 2000
 BROADCAST_KEYS = 200_000
 MAX_ROUNDS = 12
 #: Buckets with more texts that are of several classes after two rounds go to prefix filtering.
@@ -338,6 +339,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "shingles"])
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a task have a shingle in each slot, so far as there are any."""
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], names=["slot", "n"])
+
+
 def _prefixes(often_of, threshold: float):
     """The shingles that come early enough in a set's ranking from rare to common: (key, root, n, place, shingle).
 
@@ -377,11 +387,10 @@ def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     that have drifted apart share only the common shingles of their group, which come late.
     """
     t = threshold
-    sets = settled(nodes.join(texts, "key").select("text", "key", "root").mapInArrow(_sets, "key binary, root binary, shingles array<bigint>"))
+    sets = settled(nodes.join(texts, "key").select("text", "key", "root").mapInArrow(_sets, "key binary, root binary, shingles array<bigint>"), TEXTS_PER_TASK)
     # bounded: COUNTERS counts
-    slots = F.transform("shingles", lambda h: h.bitwiseAND(COUNTERS - 1))
     often = np.zeros(COUNTERS, dtype=np.int64)
-    for r in sets.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").toLocalIterator():
+    for r in sets.select("shingles").mapInArrow(_slot_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
         often[r["slot"]] = r["n"]
     early = settled(sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(often), t), "key binary, root binary, n int, i int, h bigint"))
     least = F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9)
@@ -400,7 +409,7 @@ def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     keys = settled(keys)
     side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     found = keyed.join(side, "key")
-    return settled(found.dropDuplicates(["key"]))
+    return settled(found.dropDuplicates(["key"]), TEXTS_PER_TASK)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
