@@ -1 +1,8 @@
 """Hybrid document retrieval and its analytics as PySpark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

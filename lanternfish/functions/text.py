@@ -1,14 +1,16 @@
 """Text expressions: token estimates, Markdown line kinds, identifiers, prompts and redaction.
 
-All are column expressions that stay in the JVM. White space is ECMAScript's, which is wider than Java's ``\\s``.
+All but nfkc are column expressions that stay in the JVM. White space is ECMAScript's, which is wider than Java's ``\\s``.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that ECMAScript's \s matches, for use inside a character class.
 WS = "\t-\r    -     　﻿"
@@ -213,6 +215,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility forms composed, which no expression can do: for the texts of queries."""
+
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(normal, T.StringType())(text)
+
+
 def query_terms(text: Column) -> Column:
     """Distinct terms of a query, ignoring case, the first spelling kept."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -34,7 +34,8 @@ def doc_stats(chunks: DataFrame, columns: tuple[str, ...] = INDEXED) -> DataFram
 
 def query_phrases(queries: DataFrame) -> DataFrame:
     """(query_id, phrase_no, term, tokens) of each term of a query; terms without a token go."""
-    terms = queries.select("query_id", F.posexplode(X.query_terms(F.col("query"))).alias("phrase_no", "term"))
+    plain = queries.select("query_id", X.nfkc(F.col("query")).alias("query"))
+    terms = plain.select("query_id", F.posexplode(X.query_terms(F.col("query"))).alias("phrase_no", "term"))
     return terms.withColumn("tokens", X.tokens(F.col("term"))).where(F.size("tokens") > 0)
 
 
