@@ -44,27 +44,28 @@ def record_text(ident: Column, url: Column, body: Column) -> Column:
     )
 
 
-def archive(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """page_id, file_no, ordinal, record_offset, record_bytes, record of each page."""
+def filed(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """page_id, file_no, record, record_bytes and record_sha256 of each page, without a shuffle."""
     files = max(1, -(-pages.count() // per_file))
     rows = pages.select("page_id", F.pmod(number_from_md5(_id_text(F.col("page_id"))), F.lit(files)).alias("file_no"), record_text(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    rows = rows.withColumn("record_bytes", F.octet_length("record").cast("bigint"))
-    order = Window.partitionBy("file_no").orderBy("page_id", "record")
-    return rows.select(
-        "page_id",
-        "file_no",
-        (F.row_number().over(order) - 1).cast("bigint").alias("ordinal"),
-        F.coalesce(F.sum("record_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("record_offset"),
-        "record_bytes",
-        "record",
-    )
+    return rows.withColumn("record_bytes", F.octet_length("record").cast("bigint")).withColumn("record_sha256", F.sha2("record", 256))
 
 
-def leaves(records: DataFrame, record: str = "record") -> DataFrame:
-    """(file_no, idx, lo, hi, hash) of each record."""
-    lo, hi = F.col("record_offset"), F.col("record_offset") + F.col("record_bytes")
-    mark = F.concat_ws(":", lo.cast("string"), hi.cast("string"), F.sha2(F.col(record), 256))
-    return records.select("file_no", F.col("ordinal").alias("idx"), lo.alias("lo"), hi.alias("hi"), F.sha2(mark, 256).alias("hash"))
+def placed(rows: DataFrame) -> DataFrame:
+    """Add ordinal and record_offset: records of a file lie in the order of their page, and of their digest."""
+    order = Window.partitionBy("file_no").orderBy("page_id", "record_sha256")
+    before = F.coalesce(F.sum("record_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("bigint")).withColumn("record_offset", before)
+
+
+def archive(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """Placed records with their text, to be written file by file."""
+    return placed(filed(pages, per_file))
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """(file_no, idx, lo, hi, hash) of placed records, from their bytes."""
+    return leaf_hashes(records.withColumn("_digest", F.sha2("record", 256)), "_digest")
 
 
 def _parents(level: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,26 +127,28 @@ def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[int]]:
     return met.select("file_no", "idx", status.alias("status")), compared
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica for trials: a flipped last byte in every 97th record by id, and every fifth file's tail cut off."""
-    rot = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("x"))
-    last = F.max("ordinal").over(Window.partitionBy("file_no"))
-    lost = (F.col("file_no") % 5 == 3) & (F.col("ordinal") == last)
-    rows = records.withColumn("replica", F.when(F.col("page_id") % 97 == 13, rot).otherwise(F.col("record")))
-    return rows.withColumn("lost", lost)
+def leaf_hashes(rows: DataFrame, digest: str) -> DataFrame:
+    """(file_no, idx, lo, hi, hash) of placed records, from a column with the digest of their bytes."""
+    lo, hi = F.col("record_offset"), F.col("record_offset") + F.col("record_bytes")
+    mark = F.concat_ws(":", lo.cast("string"), hi.cast("string"), F.col(digest))
+    return rows.select("file_no", F.col("ordinal").alias("idx"), lo.alias("lo"), hi.alias("hi"), F.sha2(mark, 256).alias("hash"))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
-    """Every record with its place, digest and status in a damaged replica."""
-    both = damaged(archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
-    place = ["page_id", "file_no", "ordinal", "record_offset", "record_bytes"]
-    hashed = checkpointed(both.select(*place, "lost", F.sha2("record", 256).alias("record_sha256"), F.sha2("replica", 256).alias("replica_sha256")))
-
-    def leaf(digest: str, rows: DataFrame) -> DataFrame:
-        lo, hi = F.col("record_offset"), F.col("record_offset") + F.col("record_bytes")
-        return rows.select("file_no", F.col("ordinal").alias("idx"), lo.alias("lo"), hi.alias("hi"), F.sha2(F.concat_ws(":", lo.cast("string"), hi.cast("string"), digest), 256).alias("hash"))
+    """Every record with its place, digest and status in a replica that is damaged by rule.
 
-    found, _ = audit(leaf("record_sha256", hashed), leaf("replica_sha256", hashed.where("not lost")))
+    In the replica the last byte of every 97th page's record is flipped, and every fifth file has lost its last record.
+    Records are hashed where they are read; only digests, lengths and places are shuffled.
+    """
+    rows = filed(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    flipped = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("x"))
+    copy = F.when(F.col("page_id") % 97 == 13, F.sha2(flipped, 256)).otherwise(F.col("record_sha256"))
+    place = ["page_id", "file_no", "ordinal", "record_offset", "record_bytes"]
+    both = placed(rows.withColumn("replica_sha256", copy).drop("record"))
+    last = F.max("ordinal").over(Window.partitionBy("file_no"))
+    both = both.withColumn("lost", (F.col("file_no") % 5 == 3) & (F.col("ordinal") == last))
+    hashed = checkpointed(both.select(*place, "lost", "record_sha256", "replica_sha256"))
+    found, _ = audit(leaf_hashes(hashed, "record_sha256"), leaf_hashes(hashed.where("not lost"), "replica_sha256"))
     out = hashed.join(found.withColumnRenamed("idx", "ordinal"), ["file_no", "ordinal"], "left")
     return out.select(*place, "record_sha256", F.coalesce("status", F.lit("ok")).alias("status"))
 
@@ -161,9 +164,9 @@ rec as (
   from sized),
 placed as (
   select page_id, file_no, row_number() over w - 1 as ordinal,
-    coalesce(sum(strlen(record)) over (partition by file_no order by page_id, record rows between unbounded preceding and 1 preceding), 0)::bigint as record_offset,
-    strlen(record) as record_bytes, sha256(record) as record_sha256, count(*) over (partition by file_no) as n
-  from rec window w as (partition by file_no order by page_id, record))
+    coalesce(sum(strlen(record)) over (partition by file_no order by page_id, record_sha256 rows between unbounded preceding and 1 preceding), 0)::bigint as record_offset,
+    strlen(record) as record_bytes, record_sha256, count(*) over (partition by file_no) as n
+  from (select *, sha256(record) as record_sha256 from rec) window w as (partition by file_no order by page_id, record_sha256))
 select page_id, file_no, ordinal, record_offset, record_bytes, record_sha256,
   case when file_no % 5 = 3 and ordinal = n - 1 then 'missing' when page_id % 97 = 13 then 'changed' else 'ok' end as status
 from placed
