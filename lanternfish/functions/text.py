@@ -35,6 +35,8 @@ SECRETS = [
     "(?<![A-Za-z0-9_])AIza[0-9A-Za-z_-]{30,}(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))",
     f"(?i)(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?=-))[A-Za-z0-9_-]*(?:token|secret|password|passwd|pwd|credential|apikey|api[-_]key|private[-_]?key|authorization)[A-Za-z0-9_-]*[{WS}]*[:=][{WS}]*[^{WS}]+",
 ]
+#: In lower case, every match of a secret's pattern has one of these.
+SECRET_MARKS = "-----begin|eyj|bearer|sk-|akia|asia|xox|gh[pousr]_|github_pat_|aiza|token|secret|passw|pwd|credential|api[-_]?key|private[-_]?key|authorization"
 # Prompts that the scheduler sends, not a person.
 ROUTINE = ["(?i)heartbeat check", f"(?i)^[{WS}]*(meanwhile,[{WS}]*)?context usage at", f"(?i)^[{WS}]*\\[?scheduled task"]
 # Keys of a prompt in a JSON request, in order of preference.
@@ -150,11 +152,16 @@ def cited_sources(block: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """One line without secrets, cut to 200 characters after the redaction."""
-    out = trim(F.regexp_replace(text, f"[{WS}]+", " "))
-    for pattern in SECRETS:
-        out = F.regexp_replace(out, pattern, "[redacted]")
-    return F.substring(out, 1, 200)
+    """One line without secrets, cut to 200 characters after the redaction; texts without a mark skip the patterns."""
+
+    def cleaned(line: Column) -> Column:
+        out = line
+        for pattern in SECRETS:
+            out = F.regexp_replace(out, pattern, "[redacted]")
+        return F.when(F.lower(line).rlike(SECRET_MARKS), out).otherwise(line)
+
+    compact = trim(F.regexp_replace(text, f"[{WS}]+", " "))
+    return F.substring(F.element_at(F.transform(F.array(compact), cleaned), 1), 1, 200)
 
 
 def current_message(text: Column) -> Column:

@@ -39,26 +39,49 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return terms.withColumn("tokens", X.tokens(F.col("term"))).where(F.size("tokens") > 0)
 
 
-def phrase_counts(phrases: DataFrame, posted: DataFrame) -> DataFrame:
-    """(query_id, phrase_no, id, tf): how often each phrase occurs in each chunk that has it."""
-    single = phrases.where(F.size("tokens") == 1).select("query_id", "phrase_no", F.get("tokens", F.lit(0)).alias("term"))
-    tf = posted.join(single.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
-    one = single.join(tf, "term").select("query_id", "phrase_no", "id", "tf")
+def _single(phrases: DataFrame) -> DataFrame:
+    return phrases.where(F.size("tokens") == 1).select("query_id", "phrase_no", F.get("tokens", F.lit(0)).alias("term"))
+
+
+def _term_counts(single: DataFrame, posted: DataFrame) -> DataFrame:
+    """(term, id, tf) of the terms that any query has."""
+    return posted.join(single.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
+
+
+def _several(phrases: DataFrame, posted: DataFrame) -> DataFrame:
+    """(query_id, phrase_no, id, tf) of phrases of several tokens, by their common start."""
     many = phrases.where(F.size("tokens") > 1).select("query_id", "phrase_no", F.size("tokens").alias("n"), F.posexplode("tokens").alias("shift", "term"))
     starts = many.join(posted, "term").groupBy("query_id", "phrase_no", "n", "id", "col", (F.col("pos") - F.col("shift")).alias("start")).agg(F.count("*").alias("hits"))
-    several = starts.where("hits = n").groupBy("query_id", "phrase_no", "id").agg(F.count("*").alias("tf"))
-    return one.unionByName(several)
+    return starts.where("hits = n").groupBy("query_id", "phrase_no", "id").agg(F.count("*").alias("tf"))
+
+
+def phrase_counts(phrases: DataFrame, posted: DataFrame) -> DataFrame:
+    """(query_id, phrase_no, id, tf): how often each phrase occurs in each chunk that has it."""
+    single = _single(phrases)
+    one = single.join(_term_counts(single, posted), "term").select("query_id", "phrase_no", "id", "tf")
+    return one.unionByName(_several(phrases, posted))
 
 
 def bm25(queries: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, id, bm25_score) of every chunk that has a term of the query."""
-    counts = phrase_counts(query_phrases(queries), posted)
+    """(query_id, id, bm25_score) of every chunk that has a term of the query.
+
+    What a term adds to a chunk's score is the same for all queries, so it is computed once for each term and chunk; only
+    sums by query and chunk follow the expansion to queries, and those are reduced before their shuffle.
+    """
+    phrases = query_phrases(queries)
     # one row
     corpus = stats.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("mean_tokens"))
-    with_term = counts.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
-    rows = counts.join(with_term, ["query_id", "phrase_no"]).join(stats, "id").join(F.broadcast(corpus))
-    score = S.bm25_term(S.idf(F.col("n_chunks"), F.col("df")), F.col("tf"), F.col("n_tokens"), F.col("mean_tokens"))
-    return rows.withColumn("part", score).groupBy("query_id", "id").agg(F.sum("part").alias("bm25_score"))
+
+    def parts(counts: DataFrame, keys: list[str]) -> DataFrame:
+        with_term = counts.groupBy(*keys).agg(F.count("*").alias("df"))
+        rows = counts.join(with_term, keys).join(stats, "id").join(F.broadcast(corpus))
+        score = S.bm25_term(S.idf(F.col("n_chunks"), F.col("df")), F.col("tf"), F.col("n_tokens"), F.col("mean_tokens"))
+        return rows.select(*keys, "id", score.alias("part"))
+
+    single = _single(phrases)
+    one = single.join(parts(_term_counts(single, posted), ["term"]), "term").select("query_id", "id", "part")
+    more = parts(_several(phrases, posted), ["query_id", "phrase_no"]).select("query_id", "id", "part")
+    return one.unionByName(more).groupBy("query_id", "id").agg(F.sum("part").alias("bm25_score"))
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, top_k: int, columns: tuple[str, ...] = INDEXED) -> DataFrame:
