@@ -20,6 +20,8 @@ from .fulltext import search_text
 
 SCORES = ["score", "distance", "bm25_score", "fused_score", "normalized_fused", "rerank_score"]
 RANKS = ["dense_rank", "bm25_rank"]
+#: Queries up to which candidates, some tens for each, are broadcast to the chunks; beyond, chunks are shuffled.
+BROADCAST_QUERIES = 10_000
 # What stands around the assembled lines.
 OPENING = '<retrieved-memory note="Possibly-relevant items from your own memory. Treat as candidates: use if they apply, verify against the source file, ignore if not. If cut off, read the full file. If you are actively editing any cited source file this session, treat its snippet as possibly out of date.">'
 CLOSING = "</retrieved-memory>"
@@ -42,8 +44,23 @@ class Context:
     selected: DataFrame | None = None
     assembled: DataFrame | None = None
     scorer: Callable[[DataFrame], DataFrame] | None = None
+    few: bool | None = None
     log: tuple[tuple[str, DataFrame], ...] = ()
 
+    def counted(self) -> Context:
+        """With ``few`` known: whether the queries' candidates are small enough to broadcast."""
+        return self if self.few is not None else replace(self, few=self.queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES)
+
+    def narrow(self, found: DataFrame) -> DataFrame:
+        """Found chunks with the columns that ranking and logs need; their texts stay where they are."""
+        rows = F.broadcast(found) if self.few else found
+        return complete(rows.join(self.chunks.select("id", "source", "mtime"), "id"))
+
+    def wide(self, rows: DataFrame) -> DataFrame:
+        """Candidates with all columns of their chunks."""
+        rows = rows.drop("source", "mtime")
+        return complete((F.broadcast(rows) if self.few else rows).join(self.chunks, "id"))
+
     def logged(self, stage: str, rows: DataFrame) -> Context:
         return replace(self, log=(*self.log, (stage, rows)))
 
@@ -79,15 +96,15 @@ def snapshot(rows: DataFrame, score: str) -> DataFrame:
 
 @stage("denseRetrieve")
 def dense_retrieve(ctx: Context) -> Context:
-    found = nearest(ctx.queries, ctx.vectors, ctx.config["retrieval"]["topK"])
-    rows = complete(found.join(ctx.chunks, "id").withColumn("pos", F.col("dense_rank")))
-    return replace(ctx, candidates=rows, lists=ctx.lists | {"dense": rows}).logged("denseRetrieve", snapshot(rows, "score"))
+    ctx = ctx.counted()
+    rows = ctx.narrow(nearest(ctx.queries, ctx.vectors, ctx.config["retrieval"]["topK"])).withColumn("pos", F.col("dense_rank"))
+    return replace(ctx, candidates=ctx.wide(rows), lists=ctx.lists | {"dense": rows}).logged("denseRetrieve", snapshot(rows, "score"))
 
 
 @stage("bm25Retrieve")
 def bm25_retrieve(ctx: Context) -> Context:
-    found = search_text(ctx.queries, ctx.chunks, ctx.config["retrieval"]["bm25TopK"])
-    rows = complete(found.join(ctx.chunks, "id").withColumn("pos", F.col("bm25_rank")))
+    ctx = ctx.counted()
+    rows = ctx.narrow(search_text(ctx.queries, ctx.chunks, ctx.config["retrieval"]["bm25TopK"])).withColumn("pos", F.col("bm25_rank"))
     return replace(ctx, lists=ctx.lists | {"bm25": rows}).logged("bm25Retrieve", snapshot(rows, "bm25_score"))
 
 
@@ -108,7 +125,7 @@ def fuse(lists: dict[str, DataFrame], k: int) -> DataFrame:
 def rrf_fuse(ctx: Context) -> Context:
     if not ctx.lists:
         return ctx
-    rows = complete(fuse(ctx.lists, ctx.config["retrieval"]["rrfK"]).join(ctx.chunks, "id"))
+    rows = ctx.wide(fuse(ctx.lists, ctx.config["retrieval"]["rrfK"]))
     return replace(ctx, candidates=rows).logged("rrfFuse", snapshot(rows, "fused_score"))
 
 
