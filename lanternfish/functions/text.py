@@ -41,6 +41,8 @@ SECRET_MARKS = "-----begin|eyj|bearer|sk-|akia|asia|xox|gh[pousr]_|github_pat_|a
 ROUTINE = ["(?i)heartbeat check", f"(?i)^[{WS}]*(meanwhile,[{WS}]*)?context usage at", f"(?i)^[{WS}]*\\[?scheduled task"]
 # Keys of a prompt in a JSON request, in order of preference.
 PROMPT_KEYS = ["prompt", "userPrompt", "message", "input", "text"]
+# The date of a fixture that states none.
+FIXTURE_DATE = "2026-01-01"
 TRUNCATED = "\n[truncated; read source file for full chunk]"
 
 
@@ -133,6 +135,19 @@ def day_of(mtime_ms: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(mtime_ms / 86_400_000).cast("int")).cast("string")
 
 
+def fixture_date(text: Column) -> Column:
+    """The date that a fixture's text states, in a line of its own or as "dated ...", else the default."""
+    day = "20[0-9]{2}-[0-9]{2}-[0-9]{2}"
+    line = F.regexp_extract(text, f"(?i)(?:^|[\n\r])[{WS}]*date:[{WS}]*({day})[{WS}]*(?:[\n\r]|\\z)", 1)
+    prose = F.regexp_extract(text, f"(?i)(?<![A-Za-z0-9_])dated[{WS}]+({day})(?![A-Za-z0-9_])", 1)
+    return F.coalesce(F.nullif(line, F.lit("")), F.nullif(prose, F.lit("")), F.lit(FIXTURE_DATE))
+
+
+def noon_ms(date: Column) -> Column:
+    """Milliseconds of noon UTC of a date."""
+    return F.datediff(F.to_date(date), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000 + 43_200_000
+
+
 def truncate(text: Column, tokens: Column, most: int) -> Column:
     """A text of up to so many tokens as it is, else its first so many words and a note."""
     kept = F.filter(F.split(text, f"[{WS}]+"), lambda w: w != F.lit(""))

@@ -287,6 +287,14 @@ def extract_prompt(spark, d):
     return table(spark, d, "events").select("event_id", X.extract_prompt(raw).alias("prompt"))
 
 
+@query
+def fixture_date(spark, d):
+    rows = table(spark, d, "conversations")
+    stated = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n  Date: 2025-03-0"), (F.col("conv_id") % 9 + 1).cast("string"), F.lit(" \nmore"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("It was dated 2024-12-24, "), "text")).otherwise(F.col("text"))
+    date = X.fixture_date(stated)
+    return rows.select("conv_id", "turn", date.alias("date"), X.noon_ms(date).alias("mtime"))
+
+
 @query
 def glob_policy(spark, d):
     path = F.regexp_replace("url", "^https?://[^/]*/?", "")

@@ -45,6 +45,11 @@ TOOL_BOUNDS = {"topK": (1, 25), "bm25TopK": (1, 25), "maxTotalTokens": (1, 6000)
 EDITABLE = ["enabled", "retrieval.topK", "retrieval.bm25TopK", "retrieval.rrfK", "retrieval.bm25AdmitTopN", "retrieval.threshold", "retrieval.maxTotalTokens", "retrieval.chunkTokens", "retrieval.recencyWeight", "filter.provider", "filter.threshold", "filter.keepK", "freshness.debounceMs", "freshness.sweepIntervalMs"]
 
 
+# Settings of an evaluation run, and the clock that it holds still (2026-06-09T12:00Z).
+EVALUATION = {"enabled": True, "corpus": {"allow": ["**/*.md"], "deny": ["**/.git/**", "**/node_modules/**"], "maxFileBytes": 262144}, "chunking": {"minTokens": 8}, "retrieval": {"topK": 5, "threshold": 0.65}}
+EVALUATION_NOW_MS = 1_781_006_400_000
+
+
 class ConfigError(ValueError):
     pass
 
@@ -119,6 +124,10 @@ def make(overrides: dict | None = None) -> dict:
     return validated(merged(DEFAULTS, overrides or {}))
 
 
+def for_evaluation(roots: list[str], overrides: dict | None = None) -> dict:
+    return make(merged(merged(EVALUATION, {"corpus": {"roots": roots}}), overrides or {}))
+
+
 def load(path: str) -> dict:
     """Settings of a file, or the defaults where there is none."""
     if not os.path.exists(path):

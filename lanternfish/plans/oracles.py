@@ -286,6 +286,7 @@ ORACLE_SQL = {
     "clean_prompt": sql([f"e as (select conv_id, turn, {ENVELOPED} as e from conversations)"], "select conv_id, turn, " + trimmed(replaced(replaced(f"coalesce({MESSAGE}, e)", f"(?is)[{W}]*----[{W}]*(reply|ack) via:.*$"), f"(?i)^[{W}]*\\[[^\\]]+\\][{W}]+[^\n]*?\\bsaid:[{W}]*")) + " as prompt from e"),
     "substantive_filter": sql([f"e as (select conv_id, turn, {trimmed('case when turn % 3 = 0 then substr(text, 1, 9) when turn = 4 then ' + q('Heartbeat CHECK ') + ' || text else text end')} as t from conversations)"], f"select conv_id, turn, not regexp_matches(t, '(?i)heartbeat check') and not regexp_matches(t, {q(X.ROUTINE[1])}) and not regexp_matches(t, {q(X.ROUTINE[2])}) and not (length(t) < 12 and len(regexp_extract_all(t, {q(X.LATIN_WORD)})) < 3) as substantive from e"),
     "extract_prompt": "select event_id, case event_id % 3 when 0 then 'ask ' || user_id when 1 then '' else 'plain ' || event_type end as prompt from events",
+    "fixture_date": "select conv_id, turn, date, epoch_ms(date::date)::bigint + 43200000 as mtime from (select conv_id, turn, case turn % 3 when 0 then '2025-03-0' || (conv_id % 9 + 1) when 1 then '2024-12-24' else '2026-01-01' end as date from conversations)",
     "glob_policy": f"select page_id, not (regexp_matches(p, {q(any_regex(DENY))}) or regexp_matches('/srv/' || p, {q(any_regex(DENY))})) and (regexp_matches(p, {q(any_regex(ALLOW))}) or regexp_matches('/srv/' || p, {q(any_regex(ALLOW))})) as allowed from (select page_id, {URL_PATH} as p from pages)",
     "section_split": sql([MARKDOWN], "select source, section_id::bigint as section_id, heading, sha256(text) as hash, tokens from sections"),
     "heading_occurrence": sql([MARKDOWN], "select source, section_id::bigint as section_id, slug0 as slug, row_number() over (partition by source, slug0 order by section_id) - 1 as occurrence from sections"),

@@ -109,3 +109,9 @@ def test_globs(spark, glob, path, want):
 def test_listing_roots():
     assert globs.listing_roots(["memory/users/**/*.md", "memory/**/*.md", "skills/*/refs/*.md", "notes/*/*.md"]) == ["memory", "notes", "skills/*/refs"]
     assert globs.listing_roots(["**/*.md", "a/b.md"]) == ["."]
+
+
+@pytest.mark.parametrize(("text", "want"), [("a\n date: 2025-01-02 \nb", "2025-01-02"), ("x dated  2024-03-04.", "2024-03-04"), ("date: 2025-01-02 x", "2026-01-01"), ("updated 2024-03-04", "2026-01-01"), ("DATE: 2025-01-02", "2025-01-02")])
+def test_fixture_dates(spark, text, want):
+    assert one(spark, X.fixture_date(F.col("t")), t=text) == want
+    assert one(spark, X.noon_ms(F.col("t")), t="1970-01-02") == 129_600_000
