@@ -15,7 +15,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.globs import Policy
 
@@ -75,6 +75,45 @@ class CorpusReader(DataSourceReader):
                     yield partition.root, partition.root_ord, source, e.path, stat.st_size, stat.st_mtime_ns // 1_000_000, text
 
 
+class CorpusChanges(SimpleDataSourceStreamReader):
+    """A stream of what changed in a corpus between two listings: (source, change, mtime, size).
+
+    An offset is the listing itself, so a batch that is run again gives the same rows; it grows with the number of
+    files, which a corpus of Markdown trees keeps small.
+    """
+
+    def __init__(self, options: dict):
+        self.corpus = CorpusReader({**options, "content": "false"})
+
+    def _listing(self) -> dict:
+        rows = [r for p in self.corpus.partitions() for r in self.corpus.read(p)]
+        return {r[2]: [r[5], r[4]] for r in sorted(rows, key=lambda r: r[1])}  # the last root wins
+
+    def initialOffset(self) -> dict:
+        return {"files": {}}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = {"files": self._listing()}
+        return self.readBetweenOffsets(start, end), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        old, new = start["files"], end["files"]
+        rows = [(f, "added" if f not in old else "changed", *new[f]) for f in sorted(new) if new[f] != old.get(f)]
+        return iter(rows + [(f, "removed", *old[f]) for f in sorted(old) if f not in new])
+
+
+class MarkdownChanges(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_changes"
+
+    def schema(self) -> str:
+        return "source string, change string, mtime bigint, size bigint"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return CorpusChanges(self.options)
+
+
 class MarkdownCorpus(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -97,3 +136,11 @@ def read_corpus(spark, config: dict, content: bool = True):
     files = reader.options(**{k: json.dumps(c[k]) for k in ("roots", "allow", "deny")}).load()
     last = files.groupBy("source").agg(F.max("root_ord").alias("root_ord"))
     return files.join(last, ["source", "root_ord"])
+
+
+def corpus_changes(spark, config: dict):
+    """A stream of the changes of the configured corpus."""
+    spark.dataSource.register(MarkdownChanges)
+    c = config["corpus"]
+    reader = spark.readStream.format("markdown_changes").option("maxFileBytes", str(c["maxFileBytes"]))
+    return reader.options(**{k: json.dumps(c[k]) for k in ("roots", "allow", "deny")}).load()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.operators import audit, embed, evaluation, index
 from lanternfish.plans import config as settings
-from lanternfish.sources.corpus import read_corpus
+from lanternfish.sources.corpus import corpus_changes, read_corpus
 from lanternfish.streaming import freshness
 
 
@@ -177,3 +177,27 @@ def test_settings(tmp_path):
         settings.edit_list(added, "deny", "remove", "**/.git/**")
     with pytest.raises(settings.ConfigError, match="cannot"):
         settings.set_value(settings.make(), "service.port", "1")
+
+
+def test_changes_stream(spark, tmp_path):
+    root, seen = tmp_path / "c", []
+    write(root, "a.md", "one")
+    write(root, "b.md", "two")
+    stream = corpus_changes(spark, conf(root)).writeStream.foreachBatch(lambda df, n: seen.extend((r["source"], r["change"]) for r in df.collect()))
+    q = stream.trigger(processingTime="200 milliseconds").option("checkpointLocation", str(tmp_path / "cp")).start()
+
+    def until(rows):
+        for _ in range(150):
+            if all(r in seen for r in rows):
+                return True
+            time.sleep(0.2)
+        return False
+
+    try:
+        assert until([("a.md", "added"), ("b.md", "added")]), (seen, q.exception())
+        write(root, "a.md", "one more", 1_700_000_555)
+        (root / "b.md").unlink()
+        assert until([("a.md", "changed"), ("b.md", "removed")]), (seen, q.exception())
+    finally:
+        q.stop()
+    assert len(seen) == 4
