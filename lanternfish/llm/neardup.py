@@ -4,8 +4,10 @@ Method. A text is the bag of its shingles of five consecutive words (a shorter t
 weighted by their counts. Each shingle's points of a Poisson process with its weight as rate fall on
 random components of the signature; a component keeps the shingle that arrives first, and a text stops
 once no later arrival can be first anywhere. Two signatures agree in a component with probability equal to the
-probability Jaccard similarity of the two bags. Signatures are cut into bands; equal bands make texts
-candidates, and candidates count as linked only after their similarity is computed from the whole texts.
+probability Jaccard similarity of the two bags. With all weights 1 that is the plain Jaccard similarity of the sets,
+so a text that repeats a shingle has a second signature, of its set; a text that repeats none has one for both.
+Signatures are cut into bands; equal bands make texts candidates, and candidates count as linked only after
+their similarity is computed from the whole texts.
 
 Linked: the probability Jaccard similarity, or the plain Jaccard similarity of the two sets of shingles, is at
 least the threshold. Classes are the connected components of the links; equal texts are always of one class.
@@ -124,8 +126,11 @@ def bags(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def signatures(raws: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """ProbMinHash signatures, and which texts have one."""
-    doc, element, weight = bags(raws)
-    texts = len(raws)
+    return bag_signatures(*bags(raws), len(raws), size)
+
+
+def bag_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """ProbMinHash signatures of bags as ``bags`` gives them, and which texts have one."""
     first = np.full(texts * size, np.inf)
     winner = np.zeros(texts * size, dtype=np.uint64)
     time = np.zeros(len(doc))
@@ -196,19 +201,35 @@ def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, ROWS_AT_ONCE)
 
 
+def band_keys(raws: list[bytes], bands: int, rows: int) -> list[np.ndarray]:
+    """Distinct bucket keys of each text: bands of its bag's signature, and of its set's where a shingle repeats."""
+    salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD)
+
+    def banded(sig: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = np.tile(salt, (len(sig), 1))
+            for k in range(rows):
+                h = mix(h * _GOLD + sig[:, k::rows][:, :bands])
+        return h.view(np.int64)
+
+    doc, element, count = bags(raws)
+    sig, done = bag_signatures(doc, element, count, len(raws), bands * rows)
+    out = [x if d else x[:0] for x, d in zip(banded(sig), done)]
+    repeats = np.unique(doc[count > 1])
+    own = np.isin(doc, repeats)
+    sets, _ = bag_signatures(np.searchsorted(repeats, doc[own]), element[own], np.ones(int(own.sum())), len(repeats), bands * rows)
+    for d, x in zip(repeats, banded(sets)):
+        out[d] = np.unique(np.r_[out[d], x])
+    return out
+
+
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD)
         for batch in cut_up(batches):
-            keys, out = [], []
+            out = []
             raws = [(t or "").encode() for t in batch.column(0).to_pylist()]
             for g in grouped(raws):
-                sig, done = signatures(g, bands * rows)
-                with np.errstate(over="ignore"):
-                    h = np.tile(salt, (len(g), 1))
-                    for k in range(rows):
-                        h = mix(h * _GOLD + sig[:, k::rows][:, :bands])
-                out += [x if d else [] for x, d in zip(h.view(np.int64), done)]
+                out += band_keys(g, bands, rows)
             keys = [hashlib.md5(r).digest() for r in raws]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "key", "bands"])
 
