@@ -15,9 +15,9 @@ least the threshold. Classes are the connected components of the links; equal te
 Scale. Equal texts are collapsed first, reduced before the shuffle. Within a bucket no pairs of all members are made. In
 two rounds the members meet one representative, the text with most company in all its buckets, and members linked
 to it are of one class. Small buckets that still hold several classes then meet up to 8 and 64 representatives of
-other classes, until each bucket is one class or empty. For large ones, prefix filtering finds every pair of sets of
-different classes that can reach the threshold (two bags whose probability Jaccard alone reaches it could be missed
-there, if neither is a representative). So no pair of different classes stays untested for want of a round.
+other classes, until each bucket is one class or empty. For large ones, prefix filtering finds every pair of sets, and
+every pair of bags, of different classes that can reach the threshold. So no pair of different classes that could be
+linked stays untested for want of a round.
 Texts move once, for texts with a candidate; the keys of those are broadcast only up to ``BROADCAST_KEYS``.
 
 Defined results: null counts as the empty text; a text without words is in a class with equal texts only;
@@ -53,6 +53,8 @@ BROADCAST_KEYS = 200_000
 MAX_ROUNDS = 12
 #: Buckets with more texts that are of several classes after two rounds go to prefix filtering.
 SMALL = 32
+#: What a prefix is of: a set or bag of a text that repeats a shingle, or both in one.
+BOTH, SET, BAG = 0, 1, 2
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -352,12 +354,14 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in cut_up(batches):
-        out = []
+        out, counts = [], []
         for g in grouped([t.encode() for t in batch.column(0).to_pylist()]):
-            doc, h, _ = bags(g)
+            doc, h, count = bags(g)
             cut = np.searchsorted(doc, np.arange(len(g) + 1))
             out += [h[x:y].view(np.int64) for x, y in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "shingles"])
+            counts += [count[x:y] if (count[x:y] > 1).any() else None for x, y in zip(cut, cut[1:])]
+        cols = [pa.array(out, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "shingles", "counts"])
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,32 +374,37 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(often_of, threshold: float):
-    """The shingles that come early enough in a set's ranking from rare to common: (key, root, n, place, shingle).
+    """The shingles that come early enough in a ranking from rare to common: (key, root, kind, n, what comes before, shingle).
 
-    Rarity is counted in COUNTERS slots by hash; any ranking that all sets share loses nothing, and this one is close to
+    kind: SET and BAG of a text that repeats a shingle, BOTH of one that repeats none. n is the size, with
+    repetitions for a BAG. Rarity is counted in COUNTERS slots by hash; any ranking that all sets share loses nothing, and this one is close to
     the exact one. A shingle that is alone in its slot is in no other set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = often_of.value
         for batch in cut_up(batches):
-            rows, n, place, shingle = [], [], [], []
-            for k, hashes in enumerate(batch.column(2).to_pylist()):
+            rows, kinds, n, place, shingle = [], [], [], [], []
+            for k, (hashes, counts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 h = np.array(hashes, dtype=np.int64)
                 if not len(h):
                     continue
                 f = often[h & (COUNTERS - 1)]
-                last = len(h) - int(np.ceil(threshold * len(h) - 1e-9))
-                first = np.lexsort((h, f))[: last + 1]
-                met = np.flatnonzero(f[first] > 1)
-                rows.append(np.full(len(met), k))
-                n.append(np.full(len(met), len(h), dtype=np.int32))
-                place.append(met.astype(np.int32))
-                shingle.append(h[first[met]])
+                order = np.lexsort((h, f))
+                ones = np.ones(len(h), dtype=np.int64)
+                for kind, weight in ((BOTH, ones),) if counts is None else ((SET, ones), (BAG, np.array(counts, dtype=np.int64)[order])):
+                    total = int(weight.sum())
+                    before = np.cumsum(weight) - weight
+                    met = np.flatnonzero((total - before >= threshold * total - 1e-9) & (f[order] > 1))
+                    rows.append(np.full(len(met), k))
+                    kinds.append(np.full(len(met), kind, dtype=np.int32))
+                    n.append(np.full(len(met), total, dtype=np.int32))
+                    place.append(before[met].astype(np.int32))
+                    shingle.append(h[order[met]])
             if rows:
                 at = pa.array(np.concatenate(rows))
-                cols = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(c)) for c in (n, place, shingle))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "root", "n", "i", "h"])
+                cols = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(c)) for c in (kinds, n, place, shingle))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "root", "kind", "n", "i", "h"])
 
     return run
 
@@ -406,22 +415,32 @@ def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     Shingles are ranked from rare to common. Two sets that reach the threshold share a shingle so early in both of their
     rankings that what follows it can still hold the overlap they need, so no pair of sets is lost; near copies
     that have drifted apart share only the common shingles of their group, which come late.
+
+    Bags likewise: let A and B be the shares of two bags' weights on shingles that both have. Their probability Jaccard
+    is at most 1 / (1/A + 1/B - 1), and what follows their first common shingle, itself included, is at least A and B.
+    Bags without repetition are left to the sets, whose similarity is theirs.
     """
     t = threshold
-    sets = settled(nodes.join(texts, "key").select("text", "key", "root").mapInArrow(_sets, "key binary, root binary, shingles array<bigint>"), TEXTS_PER_TASK)
+    sets = settled(nodes.join(texts, "key").select("text", "key", "root").mapInArrow(_sets, "key binary, root binary, shingles array<bigint>, counts array<bigint>"), TEXTS_PER_TASK)
     # bounded: COUNTERS counts
     often = np.zeros(COUNTERS, dtype=np.int64)
     for r in sets.select("shingles").mapInArrow(_slot_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
         often[r["slot"]] = r["n"]
-    early = settled(sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(often), t), "key binary, root binary, n int, i int, h bigint"))
+    early = settled(sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(often), t), "key binary, root binary, kind int, n int, i int, h bigint"))
+    set_rows, bag_rows = early.where(F.col("kind") != BAG), early.where(F.col("kind") != SET)
     least = F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9)
-    x = early.where(F.col("i") <= F.col("n") - least).select("h", *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "i")])
-    y = early.select("h", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "i")])
+    x = set_rows.where(F.col("i") <= F.col("n") - least).select("h", *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "i")])
+    y = set_rows.select("h", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "i")])
     need = F.ceil(t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9)
     fits = (F.col("x_root") != F.col("y_root")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") >= t * F.col("y_n") - 1e-9)
     fits = fits & (F.col("x_n") - F.col("x_i") >= need) & (F.col("y_n") - F.col("y_i") >= need)
     pairs = x.withColumnRenamed("h", "_h").join(y, (F.col("_h") == F.col("h")) & fits)
-    return pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
+    x = bag_rows.where(F.col("kind") == BAG).select(F.col("h").alias("_h"), *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "i")])
+    y = bag_rows.select("h", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "kind", "n", "i")])
+    fits = (F.col("x_root") != F.col("y_root")) & ((F.col("y_kind") != BAG) | (F.col("x_key") < F.col("y_key")))
+    fits = fits & (F.col("x_n") / (F.col("x_n") - F.col("x_i")) + F.col("y_n") / (F.col("y_n") - F.col("y_i")) <= 1 + 1 / t + 1e-9)
+    both = pairs.select("x_key", "y_key").unionByName(x.join(y, (F.col("_h") == F.col("h")) & fits).select("x_key", "y_key"))
+    return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -82,6 +82,24 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
     assert calls and [got[i] for i, _ in rows] == classes(rows)
 
 
+def test_prefix_filtering_loses_no_link_by_counts(spark):
+    """Texts around one much repeated line, and lines mixed in other shares: every pair that is linked is a candidate."""
+    rng = random.Random(9)
+    line = [f"l{j}" for j in range(10)]
+    texts = [" ".join(line * 30 + [f"t{i}w{j}" for j in range(20)]) for i in range(4)]
+    for i in range(36):
+        parts = [" ".join(f"m{k}w{j}" for j in range(6)) for k in range(3)]
+        texts.append(" ".join(" ".join([part] * rng.randint(1, 12)) for part in parts) + "".join(f" o{i}w{j}" for j in range(rng.randint(0, 25))))
+    rows = [(bytes([i]), bytes([i]), t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "key binary, root binary, text string")
+    got = {(bytes(r["a"])[0], bytes(r["b"])[0]) for r in neardup._overlapping(frame.select("key", "root"), frame.select("key", "text"), 0.8).collect()}
+    bags = [bag(t) for t in texts]
+    by_sets = {(i, j) for j in range(len(texts)) for i in range(j) if len(set(bags[i]) & set(bags[j])) >= 0.8 * len(set(bags[i]) | set(bags[j]))}
+    by_counts = {(i, j) for j in range(len(texts)) for i in range(j) if jp(bags[i], bags[j]) >= 0.8}
+    assert {(0, 1), (2, 3)} <= by_counts - by_sets and len(by_counts - by_sets) > 10
+    assert by_sets | by_counts <= got
+
+
 def test_copies_that_repeat_a_line_are_linked_by_their_sets(spark):
     """A line once against 30 times: plain Jaccard 0.96, probability Jaccard 0.34, so bands of bags alone miss most."""
     rows = []
