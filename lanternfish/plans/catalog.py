@@ -247,7 +247,7 @@ def citation_line(spark, d):
 @query
 def injection_sources(spark, d):
     rows = chunks_of(spark, d)
-    line = X.citation(F.col("source"), F.col("date"), F.col("type"), F.substring("text", 1, 50))
+    line = X.citation(F.col("source"), F.col("date"), F.col("type"), F.col("text"))
     return rows.select("id", F.explode(X.cited_sources(line)).alias("x")).select("id", F.col("x.source").alias("source"), F.col("x.date").alias("date"))
 
 

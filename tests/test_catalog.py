@@ -45,3 +45,11 @@ def test_query_equals_sql(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_injection_sources_reads_whole_texts(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(1)
+    late = docs.selectExpr("doc_id", "repeat('word ', 40) || '[notes/late.md · 2025-03-04] end' as text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    late.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["injection_sources"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 and ("notes/late.md", "2025-03-04") in {(r["source"], r["date"]) for r in got}
