@@ -134,17 +134,21 @@ def leaf_hashes(rows: DataFrame, digest: str) -> DataFrame:
     return rows.select("file_no", F.col("ordinal").alias("idx"), lo.alias("lo"), hi.alias("hi"), F.sha2(mark, 256).alias("hash"))
 
 
+def replica_record() -> Column:
+    """A record's bytes in the replica: the last one is flipped in every 97th page's."""
+    flipped = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("x"))
+    return F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("record"))
+
+
 def op5_query(spark, sf_dir: str) -> DataFrame:
     """Every record with its place, digest and status in a replica that is damaged by rule.
 
     In the replica the last byte of every 97th page's record is flipped, and every fifth file has lost its last record.
-    Records are hashed where they are read; only digests, lengths and places are shuffled.
+    Records of both replicas are hashed where they are read; only digests, lengths and places are shuffled.
     """
     rows = filed(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    flipped = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("x"))
-    copy = F.when(F.col("page_id") % 97 == 13, F.sha2(flipped, 256)).otherwise(F.col("record_sha256"))
     place = ["page_id", "file_no", "ordinal", "record_offset", "record_bytes"]
-    both = placed(rows.withColumn("replica_sha256", copy).drop("record"))
+    both = placed(rows.withColumn("replica_sha256", F.sha2(replica_record(), 256)).drop("record"))
     last = F.max("ordinal").over(Window.partitionBy("file_no"))
     both = both.withColumn("lost", (F.col("file_no") % 5 == 3) & (F.col("ordinal") == last))
     hashed = checkpointed(both.select(*place, "lost", "record_sha256", "replica_sha256"))

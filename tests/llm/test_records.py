@@ -91,3 +91,12 @@ def test_conversations_and_neighbours(spark):
     assert rows[3]["rejected_turns"] == rows[3]["chosen_turns"] and rows[2000]["rejected_turns"][0]["text"] == "far"
     assert rows[2]["chosen_turns"][0]["role"] == "user" and rows[2]["chosen_turns"][0]["text"] == ""
     assert preferences.format_pairs(preferences.with_borrowed_reply(turns_.limit(0))).collect() == []
+
+
+def test_the_replica_is_hashed_for_every_row(spark, tmp_path, monkeypatch):
+    """Damage outside the planted rule is found, so a digest of the replica's own bytes is compared."""
+    spark.createDataFrame([(i, f"http://h/{i}", "<p>x</p>") for i in range(40)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    planted = fixity.replica_record()
+    monkeypatch.setattr(fixity, "replica_record", lambda: F.when(F.col("page_id") == 5, F.concat("record", F.lit("!"))).otherwise(planted))
+    status = {r["page_id"]: r["status"] for r in fixity.op5_query(spark, str(tmp_path)).collect()}
+    assert {i for i, s in status.items() if s == "changed"} == {5, 13}
