@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-MAX_ROUNDS = 60
-
 
 def _with_low(edges: DataFrame) -> DataFrame:
     """Each (u, v) with the smallest neighbour of u, u itself included."""
@@ -31,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges: no rows.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         large = _with_low(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
@@ -39,4 +37,3 @@ def components(edges: DataFrame) -> DataFrame:
         e = settled(small.select("x.u", "x.v").where("u <> v").distinct())
         if _are_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -14,15 +14,16 @@ least the threshold. Classes are the connected components of the links; equal te
 
 Scale. Equal texts are collapsed first, reduced before the shuffle. Within a bucket no pairs of all members are made. In
 two rounds the members meet one representative, the text with most company in all its buckets, and members linked
-to it are of one class. Small buckets that still hold several classes then meet up to 8 and 64 representatives of
-other classes, until each bucket is one class or empty. For large ones, prefix filtering finds every pair of sets, and
-every pair of bags, of different classes that can reach the threshold. So no pair of different classes that could be
-linked stays untested for want of a round.
+to it are of one class. What is left in buckets of several classes, of whatever size, goes to prefix filtering, which
+finds every pair of sets, and every pair of bags, of different classes that can reach the threshold; of any two classes one
+such pair is tested first, and the others only if that one did not join them. So no pair of different classes that could
+be linked stays untested, and no bucket is treated by its size.
 Texts move once, for texts with a candidate; the keys of those are broadcast only up to ``BROADCAST_KEYS``.
 
 Defined results: null counts as the empty text; a text without words is in a class with equal texts only;
-repeated rows give repeated result rows; an empty table gives no rows; other columns are ignored. A null doc_id is
-kept, and is a class's id only if the class has no other.
+repeated rows give repeated result rows; an empty table gives no rows; other columns are ignored, whatever their names. A
+null doc_id is kept, and is a class's id only if the class has no other. Of texts that tie for most company the one with the
+greatest md5 stands for its bucket. A text of any length is hashed whole, in a group of its own beyond ``GROUP_BYTES``.
 """
 
 from __future__ import annotations
@@ -50,9 +51,7 @@ ROWS_AT_ONCE = 500
 COUNTERS = 1 << 18
 TEXTS_PER_TASK = 2000
 BROADCAST_KEYS = 200_000
-MAX_ROUNDS = 12
-#: Buckets with more texts that are of several classes after two rounds go to prefix filtering.
-SMALL = 32
+ROUNDS = 2
 #: What a prefix is of: a set or bag of a text that repeats a shingle, or both in one.
 BOTH, SET, BAG = 0, 1, 2
 
@@ -328,28 +327,32 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
         if not new.isEmpty():
             label = _joined(label, new)
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows (bucket, key, central) of buckets of more than one class, with their class and the bucket's rows."""
+    def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
+        """Add the class of a node as ``root``; a node without a link is its own."""
         if label is None:
-            rows = rows.withColumn("root", F.col("key"))
-        else:
-            rows = rows.join(label.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "central", F.coalesce("root", "key").alias("root"))
-        of = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        return settled(rows.join(of.select("bucket", "n"), "bucket"))
-
-    for r in range(MAX_ROUNDS):
-        salt = F.pmod(F.xxhash64("key"), F.lit(8 ** max(r - 1, 0)))
-        reps = here.groupBy("bucket", salt.alias("salt")).agg(F.max(F.struct("central", "key", "root")).alias("rep")).select("bucket", F.col("rep.key").alias("rep"), F.col("rep.root").alias("rep_root"))
+            return rows.withColumn(root, F.col(node))
+        return rows.join(label.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows (bucket, key, central) of buckets of more than one class, with their class."""
+        rows = rooted(rows, "key", "root")
+        of = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        return settled(rows.join(of.select("bucket"), "bucket"))
+
+    for _ in range(ROUNDS):
+        reps = here.groupBy("bucket").agg(F.max(F.struct("central", "key", "root")).alias("rep")).select("bucket", F.col("rep.key").alias("rep"), F.col("rep.root").alias("rep_root"))
         met = here.join(reps, "bucket").where("root <> rep_root")
         test(met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct())
         here = mixed(here.select("bucket", "key", "central").join(reps.select("bucket", F.col("rep").alias("key")), ["bucket", "key"], "left_anti"))
-        if r == 1 and not (large := here.where(F.col("n") > SMALL)).isEmpty():
-            test(_overlapping(large.select("key", "root").distinct(), texts, threshold))
-            here = mixed(here.where(F.col("n") <= SMALL).select("bucket", "key", "central"))
         release(docs.sparkSession)
         if here.isEmpty():
-            return None if label is None else (tested.where("linked").select("a", "b"), label)
-    raise RuntimeError(f"buckets were not settled in {MAX_ROUNDS} rounds")
+            break
+    else:
+        pairs = settled(_overlapping(here.select("key", "root").distinct(), texts, threshold))
+        test(pairs.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+        test(rooted(rooted(pairs.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
+        release(docs.sparkSession)
+    return None if label is None else (tested.where("linked").select("a", "b"), label)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +413,7 @@ def _prefixes(often_of, threshold: float):
 
 
 def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes (key, root) of different classes that may reach the threshold, by prefix filtering.
+    """Pairs (a, b) of nodes (key, root) of different classes ra < rb that may reach the threshold, by prefix filtering.
 
     Shingles are ranked from rare to common. Two sets that reach the threshold share a shingle so early in both of their
     rankings that what follows it can still hold the overlap they need, so no pair of sets is lost; near copies
@@ -427,6 +430,9 @@ def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     for r in sets.select("shingles").mapInArrow(_slot_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
         often[r["slot"]] = r["n"]
     early = settled(sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(often), t), "key binary, root binary, kind int, n int, i int, h bigint"))
+    # a shingle that only one class has joins nothing
+    several = early.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    early = settled(early.join(several.select("h"), "h", "left_semi"))
     set_rows, bag_rows = early.where(F.col("kind") != BAG), early.where(F.col("kind") != SET)
     least = F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9)
     x = set_rows.where(F.col("i") <= F.col("n") - least).select("h", *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "i")])
@@ -439,8 +445,11 @@ def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     y = bag_rows.select("h", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "kind", "n", "i")])
     fits = (F.col("x_root") != F.col("y_root")) & ((F.col("y_kind") != BAG) | (F.col("x_key") < F.col("y_key")))
     fits = fits & (F.col("x_n") / (F.col("x_n") - F.col("x_i")) + F.col("y_n") / (F.col("y_n") - F.col("y_i")) <= 1 + 1 / t + 1e-9)
-    both = pairs.select("x_key", "y_key").unionByName(x.join(y, (F.col("_h") == F.col("h")) & fits).select("x_key", "y_key"))
-    return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
+    cols = ["x_key", "y_key", "x_root", "y_root"]
+    both = pairs.select(*cols).unionByName(x.join(y, (F.col("_h") == F.col("h")) & fits).select(*cols))
+    first = F.col("x_root") < F.col("y_root")
+    ends = F.when(first, F.struct(F.col("x_root").alias("ra"), F.col("y_root").alias("rb"))).otherwise(F.struct(F.col("y_root").alias("ra"), F.col("x_root").alias("rb")))
+    return both.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"), ends.alias("r")).select("a", "b", "r.ra", "r.rb").distinct()
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -74,7 +74,6 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, edited(rng, base, rng.choice([1, 2, 3, 5, 7, 9]))) for i in range(120)]
-    monkeypatch.setattr(neardup, "SMALL", 2)
     calls = []
     real = neardup._overlapping
     monkeypatch.setattr(neardup, "_overlapping", lambda *a: calls.append(1) or real(*a))
@@ -111,6 +110,26 @@ def test_copies_that_repeat_a_line_are_linked_by_their_sets(spark):
     assert [got[i] for i, _ in rows] == classes(rows) == [i - i % 2 for i, _ in rows]
 
 
+def test_links_by_counts_alone_in_a_large_bucket(spark):
+    """Sixty texts around one line repeated 30 to 36 times, each with words of its own: sets differ, bags are near."""
+    line = [f"l{j}" for j in range(10)]
+    rows = [(i, " ".join(line * (30 + i % 7) + [f"t{i}w{j}" for j in range(20 + 9 * (i % 5))])) for i in range(60)]
+    bags = [bag(t) for _, t in rows]
+    assert max(len(set(a) & set(b)) / len(set(a) | set(b)) for k, a in enumerate(bags) for b in bags[:k]) < 0.4
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == classes(rows) and len(set(got.values())) < 40
+
+
+def test_one_text_repeated_in_the_other(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words) + " x" * 1000), (3, "é " * 200_000 + "end"), (4, "é " * 200_000 + "fin")]
+    docs = spark.createDataFrame([(i, t, 9, b"k", 0) for i, t in rows], "doc_id long, text string, class_id int, key binary, bands int")
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got[1] == got[2] == (1, 1) and got[3] == got[4] == (3, 1)
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_empty_and_null_ids(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = neardup.near_duplicates(spark.createDataFrame([(None, "same text"), (5, "same text"), (None, "other")], "doc_id long, text string")).collect()
