@@ -1,44 +1,49 @@
 """Mixing sources to target weights in fixed-length blocks.
 
-Each source's words are packed, document after document, into blocks of ``BLOCK`` words. A mix is a sequence of
-slots in output shards: for each shard the counts of its slots by source are a multinomial draw from what the
-sources' quotas still hold, so every quota is met exactly. The k-th slot of a source takes the block that a
-pseudorandom permutation of the source's block numbers gives for k modulo their count, with another permutation
-for each epoch, and slots meet blocks in a join by source and block number. A document gets what its parts of
-the taken blocks hold.
+Each source's words are packed, document after document, into blocks of ``BLOCK`` words; the last block of a source may be
+shorter. A mix is a sequence of slots, dealt to output shards of ``SLOTS_PER_SHARD`` slots. The slots of all sources, one
+source after another, go to places by one pseudorandom permutation of all places, so the counts by source of a
+shard are a multinomial draw from what the sources' quotas still hold, and every quota is met exactly. The k-th slot of a
+source takes the block that a pseudorandom permutation of the source's full blocks gives, another one for each epoch;
+its short block comes first in an epoch. The last slot of a source takes the first words of its block only, as many as
+the target lacks. Slots meet blocks in a join by source and block number.
 
 Targets share all words by weight; a source stops at ``MAX_EPOCHS`` times its size, and the excess is shared
-again by weight among the others. Only sums for each source reach the driver, at most ``MAX_SOURCES``.
+again by weight among the others. Only sums for each source reach the driver, at most ``MAX_SOURCES``; draws and
+slots are made in tasks.
 
-Scale: documents move once, to a part of their source, a hash of the id of about ``ROWS_PER_PART`` rows;
-offsets of the parts come from their sums. A hot source is many parts, and its blocks spread by number.
+Scale: documents move once, to a part of their source, a hash of id and text of about ``ROWS_PER_PART`` rows; offsets
+of the parts come from their sums. A hot source is many parts, its slots are made in runs of ``RUN``, and its blocks spread
+by number.
 
 Defined results: a null text has no words and takes none; null is a source of its own, the last; repeated rows
-are packed one after the other; an empty table gives no rows; other columns are ignored. All on the rows is
-DataFrame operations, and the same rows give the same mix.
+are packed one after the other, and rows that tie in id and size are ordered by their text's hash; an empty table
+gives no rows; other columns are ignored, whatever their names; a text of any length is packed whole, over as many
+blocks as it fills. All on the rows is DataFrame operations, and the same rows give the same mix.
 """
 
 from __future__ import annotations
 
 from random import Random
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpointed, number_from_md5, table, words
+from .common import checkpointed, table, words
 
 BLOCK = 128
 MAX_EPOCHS = 3
 MAX_SOURCES = 100_000
-ROWS_PER_PART = 8192
+ROWS_PER_PART = 2048
 SLOTS_PER_SHARD = 4096
-MAX_SHARDS = 4096
+#: Slots of a source that are made from one row, and slots that a task makes at least.
+RUN, SLOTS_PER_TASK = 1 << 14, 1 << 16
+MOST_TASKS = 20_000
 SEED = 20240229
-#: A walk along a permutation's cycle leaves the padding of its domain with half a chance a step at least.
-WALK = 64
+#: Rounds of a permutation.
+ROUNDS = 12
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) -> list[float]:
@@ -59,100 +64,89 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) ->
     return out
 
 
-def shard_draws(quotas: list[int], seed: int) -> list[list[int]]:
-    """Multinomial counts by source for each output shard; they add up to the quotas."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    total = sum(quotas)
-    shards = min(MAX_SHARDS, max(1, -(-total // SLOTS_PER_SHARD)))
-    left, out = np.array(quotas, dtype=np.int64), []
-    for j in range(shards):
-        need = total * (j + 1) // shards - total * j // shards
-        got = np.zeros_like(left)
-        while need:  # what a draw takes beyond a quota is drawn again
-            rest = left - got
-            draw = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-            got += draw
-            need -= int(draw.sum())
-        left = left - got
-        out.append(got.tolist())
-    return out
-
-
-def permuted(k: Column, n: Column, bits: Column, salt: Column) -> Column:
-    """A pseudorandom permutation of 0 to n - 1 at k; bits: of the smallest power of two that holds n.
+def permuted(rows: DataFrame, x: str, n: str, salt: str) -> DataFrame:
+    """Replace x, from 0 to n - 1, by its place in a pseudorandom permutation of these numbers.
 
-    Rounds of adding, multiplying by an odd number and folding the upper half down are bijections of numbers of so
-    many bits; the walk repeats them until the number is below n.
+    Each round pairs every number with another by a sum modulo n, and swaps the two or not by a hash of the greater.
+    That is a bijection for every n, so nothing has to be drawn again. Rounds are projections, which
+    compile to one loop.
     """
-    mask = F.expr("shiftleft(1L, _bits)") - 1
-    half = F.expr("cast(greatest(1, (_bits + 1) div 2) as int)")
-
-    def fold(v: Column) -> Column:
-        return v.bitwiseXOR(F.call_function("shiftright", v, half))
-
-    def once(v: Column) -> Column:
-        for i, odd in enumerate((0xAB35, 0x9E37, 0xC2B3)):
-            v = fold(((v + F.shiftright(salt, 8 * i)).bitwiseAND(mask) * F.lit(odd).cast("bigint")).bitwiseAND(mask))
-        return v
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(k), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    for r in range(ROUNDS):
+        sum_ = F.pmod(F.xxhash64(salt, F.lit(r)), F.col(n))
+        rows = rows.withColumn("_other", sum_ - F.col(x))
+        rows = rows.withColumn("_other", F.when(F.col("_other") < 0, F.col("_other") + F.col(n)).otherwise(F.col("_other")))
+        swap = F.xxhash64(salt, F.lit(r), F.greatest(x, "_other")).bitwiseAND(F.lit(1)) == 1
+        rows = rows.withColumn(x, F.when(swap, F.col("_other")).otherwise(F.col(x)))
+    # a generator's output hides what it is made of: filters on it are not pushed into the rounds, which would multiply them
+    return rows.withColumn(x, F.explode(F.array(x))).drop("_other")
 
 
 def _packed(docs: DataFrame, text: str, source: str, ident: str, carry: list[str]) -> tuple[DataFrame, list]:
     """Rows (id, source, size, first word's place in the source), and (source, size, rows) by source."""
-    tokens = F.col(f"`{text}`")
-    rows = checkpointed(docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.size(words(tokens)).cast("bigint").alias("size"), *carry))
+    body = F.col(f"`{text}`")
+    rows = checkpointed(docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.size(words(body)).cast("bigint").alias("size"), F.xxhash64(body).alias("_text"), *carry))
     seen = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     found = seen.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sums = sorted(((r["source"], r["size"], r["n"]) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
     parts = max(1, -(-sum(n for _, _, n in sums) // ROWS_PER_PART))
-    rows = rows.withColumn("part", F.pmod(number_from_md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(parts)))
     by_part = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     before = F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_part.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("part_start"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "part").orderBy("doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "part").orderBy("doc_id", "size", "_text", *carry).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("inside", inside)
     joined = placed.join(offsets, placed["source"].eqNullSafe(offsets["_source"]) & (placed["part"] == offsets["_part"]))
     return joined.select("doc_id", "source", "size", (F.col("part_start") + F.col("inside")).alias("start"), *carry), sums
 
 
+def slots_for(goal: int, size: int) -> tuple[int, int]:
+    """How many slots a source of so many words needs for goal words, and how many words its last slot takes too many."""
+    if not goal:
+        return 0, 0
+    blocks, first = -(-size // BLOCK), size % BLOCK or BLOCK
+    epochs, rest = divmod(goal, size)
+    if not rest:
+        return epochs * blocks, 0
+    more = 1 + max(0, -(-(rest - first) // BLOCK))
+    return epochs * blocks + more, first + (more - 1) * BLOCK - rest
+
+
 def plan(sums: list, weights: tuple = (5, 2, 1), seed: int = SEED) -> list[dict]:
-    """For each source: size, target, number of blocks, slots in the mix, and the salt of its permutations."""
+    """For each source: size, target, blocks, slots in the mix, the place of its first slot, and the salt of its permutations."""
     goal = targets([s for _, s, _ in sums], [weights[i % len(weights)] for i in range(len(sums))])
-    rng, out = Random(seed), []
+    rng, out, base = Random(seed), [], 0
     for i, ((name, size, _), t) in enumerate(zip(sums, goal)):
-        blocks = -(-size // BLOCK)
-        quota = min(MAX_EPOCHS * blocks, round(t * blocks / size)) if size else 0
-        bits = max(1, (blocks - 1).bit_length()) if blocks else 1
-        out.append({"source_no": i, "source": name, "source_size": size, "target": t, "blocks": blocks, "quota": quota, "bits": bits, "salt": rng.getrandbits(30)})
+        quota, excess = slots_for(min(round(t), MAX_EPOCHS * size), size)
+        out.append({"source_no": i, "source": name, "source_size": size, "target": t, "full": size // BLOCK, "tail": size % BLOCK, "quota": quota, "excess": excess, "base": base, "salt": rng.getrandbits(30)})
+        base += quota
     return out
 
 
-def taken_blocks(spark, sources: list[dict], seed: int = SEED) -> DataFrame:
-    """(source_no, block, times): how often the mix takes each block."""
-    drawn = shard_draws([s["quota"] for s in sources], seed)
-    runs, at = [], [0] * len(sources)
-    for shard, counts in enumerate(drawn):
-        for i, c in enumerate(counts):
-            if c:
-                s = sources[i]
-                runs.append((shard, i, at[i], c, s["blocks"], s["bits"], s["salt"]))
-                at[i] += c
-    schema = T.StructType([T.StructField(n, T.IntegerType() if n in ("shard", "source_no", "_bits") else T.LongType()) for n in ("shard", "source_no", "first", "n", "blocks", "_bits", "salt")])
-    slots = spark.createDataFrame(runs, schema).repartition(max(8, len(drawn) // 4), "shard", "source_no")
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i")).withColumn("k", F.col("first") + F.col("i"))
-    slots = slots.withColumn("epoch", F.floor(F.col("k") / F.col("blocks"))).withColumn("k", F.col("k") % F.col("blocks"))
-    salt = F.xxhash64("salt", "epoch").bitwiseAND(F.lit((1 << 40) - 1))
-    block = permuted(F.col("k"), F.col("blocks"), F.col("_bits"), salt)
-    return slots.select("shard", "source_no", block.alias("block")).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+def dealt_slots(spark, sources: list[dict], seed: int = SEED) -> DataFrame:
+    """(shard, place, source_no, epoch, block, upto) of each slot; upto: how many words of the block it takes."""
+    total = sum(s["quota"] for s in sources)
+    fields = ["source_no", "full", "tail", "quota", "excess", "base", "salt"]
+    listed = spark.createDataFrame([tuple(s[f] for f in fields) for s in sources if s["quota"]], T.StructType([T.StructField(f, T.IntegerType() if f == "source_no" else T.LongType()) for f in fields]))
+    runs = listed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / RUN))).alias("run"))
+    runs = runs.repartition(min(MOST_TASKS, max(8, -(-total // SLOTS_PER_TASK))), "source_no", "run")
+    last = F.least((F.col("run") + 1) * RUN, F.col("quota")) - 1
+    slots = runs.select("*", F.explode(F.sequence(F.col("run") * RUN, last)).alias("k")).drop("run")
+    slots = permuted(slots.withColumn("place", F.col("base") + F.col("k")).withColumn("_n", F.lit(max(1, total))).withColumn("_salt", F.lit(seed)), "place", "_n", "_salt")
+    blocks = F.col("full") + (F.col("tail") > 0).cast("int")
+    slots = slots.withColumn("epoch", F.floor(F.col("k") / blocks)).withColumn("_at", F.col("k") % blocks - (F.col("tail") > 0).cast("int"))
+    slots = slots.withColumn("_short", F.col("_at") < 0).withColumn("block", F.greatest("_at", F.lit(0).cast("bigint"))).withColumn("_salt", F.xxhash64("salt", "epoch")).withColumn("_n", F.greatest("full", F.lit(1).cast("bigint")))
+    slots = permuted(slots, "block", "_n", "_salt")
+    size = F.when(F.col("_short"), F.col("tail")).otherwise(F.lit(BLOCK))
+    upto = size - F.when(F.col("k") == F.col("quota") - 1, F.col("excess")).otherwise(0)
+    return slots.select(F.floor(F.col("place") / SLOTS_PER_SHARD).alias("shard"), "place", "source_no", "epoch", F.when(F.col("_short"), F.col("full")).otherwise(F.col("block")).alias("block"), upto.alias("upto"))
 
 
 def mixed_parts(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", weights: tuple = (5, 2, 1), seed: int = SEED, carry: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The packed documents with their source's plan, the parts of them that lie in taken blocks, and the plan.
+    """The packed documents with their source's plan, what the slots take of them, and the plan.
 
-    Parts: doc_id, source_no, start, size, block, from_word, n_words, times and the carried columns.
+    Parts: doc_id, source_no, start, size, block, epoch, shard, from_word, n_words and the carried columns.
     """
     spark = docs.sparkSession
     packed, sums = _packed(docs, text, source, ident, list(carry))
@@ -163,20 +157,24 @@ def mixed_parts(docs: DataFrame, text: str = "text", source: str = "source", ide
     packed = packed.join(F.broadcast(listed), packed["source"].eqNullSafe(listed["_name"])).drop("_name")
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     pieces = packed.where("size > 0").select("doc_id", "source_no", "start", "size", *carry, F.explode(F.sequence(first, last)).alias("block"))
-    low, high = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    pieces = pieces.withColumn("from_word", low - F.col("start")).withColumn("n_words", high - low)
     # both sides grow with the words: few runs make many slots, which size estimates don't see
-    return packed, pieces.join(taken_blocks(spark, sources, seed).hint("merge"), ["source_no", "block"]), listed
+    met = pieces.join(dealt_slots(spark, sources, seed).hint("merge"), ["source_no", "block"])
+    low, high = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("upto"))
+    parts = met.where(high > low).withColumn("from_word", low - F.col("start")).withColumn("n_words", high - low).drop("upto", "place")
+    return packed, parts, listed
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words in the mix, repeats counted) of each document."""
+    """doc_id, size, source_size, target, taken (words in the mix, repeats counted) and first_shard of each document.
+
+    first_shard is the first output shard with words of the document, null where the mix leaves it out.
+    """
     packed, parts, _ = mixed_parts(docs, **how)
-    got = parts.groupBy("source_no", "start", "doc_id").agg(F.sum(F.col("n_words") * F.col("times")).alias("got"))
-    got = got.select(F.col("source_no").alias("_no"), F.col("start").alias("_start"), "got")
+    got = parts.groupBy("source_no", "start", "doc_id").agg(F.sum("n_words").alias("got"), F.min("shard").alias("first_shard"))
+    got = got.select(F.col("source_no").alias("_no"), F.col("start").alias("_start"), "got", "first_shard")
     # documents with words start at different places of their source
     out = packed.join(got, (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"), "first_shard")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -189,9 +187,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select("doc_id", "source", "text", F.struct(*columns).alias("_doc"), F.md5(F.to_json(F.struct(*columns))).alias("_row"))
     _, parts, _ = mixed_parts(keyed.select("doc_id", "source", "text", "_row"), carry=["_row"], **how)
-    epochs = parts.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("epoch"))
     spans = F.array_sort(F.collect_list(F.struct("from_word", "n_words")))
-    taken = epochs.groupBy("_row", "source_no", "start", "size", "epoch").agg(spans.alias("_spans"), F.sum("n_words").alias("_n"))
+    taken = parts.groupBy("_row", "source_no", "start", "size", "epoch").agg(spans.alias("_spans"), F.sum("n_words").alias("_n"))
     taken = taken.select("_row", "_spans", (F.col("_n") == F.col("size")).alias("_whole"))
     met = keyed.select("_row", "_doc").dropDuplicates(["_row"]).join(taken, "_row")
     met = met.withColumn("_words", F.when(~F.col("_whole"), words(F.col("_doc.text"))))
