@@ -9,12 +9,14 @@ Two ways to merge are kept here, one per operator:
   beyond ``LONG`` bytes take a heap over a linked list, so that no word costs the square of its length.
 
 The vocabulary file is a parameter. The driver reads it, refuses it beyond ``MAX_VOCAB_BYTES`` and
-broadcasts the tables; executors need no file. Text is processed whole, in slices of ``SLICE_BYTES`` of
-Arrow batches, and distinct pre-tokens are remembered up to ``CACHE`` entries for each task.
+broadcasts the tables; executors need no file. It refuses files whose settings ask for anything that is not done here.
+Text is processed whole, in slices of Arrow batches of about ``SLICE_BYTES``, a longer text alone, and distinct
+pre-tokens are remembered up to ``CACHE`` entries for each task.
 
 Defined results: null counts as the empty text, which has no tokens; special strings inside a text become
-their own token, as the tokenizer's default is; other columns of the input pass through untouched, except
-that output names win over equal names of the input.
+their own token, as the tokenizer's default is; of pairs that tie for the lowest rank the leftmost is merged first; repeated
+rows give repeated result rows; an empty table gives no rows; other columns of the input pass through untouched,
+except that output names win over equal names of the input.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import pieces, ship
+
 MAX_VOCAB_BYTES = 64 << 20
 SLICE_BYTES = 4 << 20
 CACHE = 300_000
@@ -49,12 +52,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def unsupported(spec: dict) -> list[str]:
+    """Settings of a tokenizer file that these operators do not follow."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = {
+        "model.type": model.get("type", "BPE") != "BPE",
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True),
+        "decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "model.vocab": len(set(model["vocab"].values())) != len(model["vocab"]) or not set(byte_letters()) <= set(model["vocab"]),
+        "added_tokens": any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in spec.get("added_tokens", [])),
+    }
+    wrong |= {f"model.{k}": bool(model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    return [k for k, bad in wrong.items() if bad]
+
+
 def load_vocab(path: str) -> dict:
     """Tables of a byte-level BPE file: token bytes by id, merges by pair of ids, special strings."""
     if os.path.getsize(path) > MAX_VOCAB_BYTES:
         raise ValueError(f"{path} is larger than {MAX_VOCAB_BYTES} bytes")
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if found := unsupported(spec):
+        raise ValueError(f"{path} has settings that are not supported: {', '.join(found)}")
     letters = byte_letters()
     ids = spec["model"]["vocab"]
     raw = {i: bytes(letters[c] for c in t) for t, i in ids.items()}
@@ -154,13 +174,15 @@ class RaggedMerger:
 
 
 class RankArray:
-    """Encodes one pre-token with a contiguous array of boundaries and ranks."""
+    """Encodes one pre-token with a contiguous array of boundaries and ranks.
+
+    Ranks are of pairs of parts, so a pair that is no merge stays apart even where its bytes spell a token.
+    """
 
     def __init__(self, vocab: dict):
-        self.rank_of = {vocab["bytes"][a] + vocab["bytes"][b]: None for a, b in vocab["pairs"]}
-        for (a, b), (rank, made) in vocab["pairs"].items():
-            self.rank_of[vocab["bytes"][made]] = rank
-        self.id_of = {t: i for i, t in vocab["bytes"].items() if i not in set(vocab["special"].values())}
+        self.rank_of = {(vocab["bytes"][a], vocab["bytes"][b]): rank for (a, b), (rank, _) in vocab["pairs"].items()}
+        special = set(vocab["special"].values())
+        self.id_of = {t: i for i, t in vocab["bytes"].items() if i not in special}
 
     def __call__(self, token: bytes) -> list[int]:
         if len(token) == 1:
@@ -169,68 +191,58 @@ class RankArray:
             return self._long(token)
         rank_of = self.rank_of
         edge = list(range(len(token) + 1))
-        rank = [rank_of.get(token[i : i + 2], NONE) for i in range(len(token) - 1)]
+        rank = [rank_of.get((token[i : i + 1], token[i + 1 : i + 2]), NONE) for i in range(len(token) - 1)]
         while rank:
             low = min(rank)
             if low == NONE:
                 break
             i = rank.index(low)
             del edge[i + 1], rank[i]
+            made = token[edge[i] : edge[i + 1]]
             if i < len(rank):
-                rank[i] = rank_of.get(token[edge[i] : edge[i + 2]], NONE)
+                rank[i] = rank_of.get((made, token[edge[i + 1] : edge[i + 2]]), NONE)
             if i:
-                rank[i - 1] = rank_of.get(token[edge[i - 1] : edge[i + 1]], NONE)
+                rank[i - 1] = rank_of.get((token[edge[i - 1] : edge[i]], made), NONE)
         return [self.id_of[token[a:b]] for a, b in zip(edge, edge[1:])]
 
     def _long(self, token: bytes) -> list[int]:
         n = len(token)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.rank_of.get(token[i : i + 2])) is not None]
-        heapq.heapify(heap)
+
+        def push(i: int, j: int, stop: int) -> None:
+            if (r := self.rank_of.get((token[i:j], token[j:stop]))) is not None:
+                heapq.heappush(heap, (r, i, j, stop))
+
+        heap: list[tuple[int, int, int, int]] = []
+        for i in range(n - 1):
+            push(i, i + 1, i + 2)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end[i]
-            if not alive[i] or j >= n or end[j] != stop:
+            _, i, j, stop = heapq.heappop(heap)
+            if not alive[i] or end[i] != j or not alive[j] or end[j] != stop:
                 continue
             alive[j], end[i] = False, stop
             if stop < n:
                 before[stop] = i
-                if (r := self.rank_of.get(token[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := self.rank_of.get(token[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, stop))
+                push(i, stop, end[stop])
+            if (p := before[i]) >= 0:
+                push(p, i, stop)
         return [self.id_of[token[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def slices(texts: list) -> Iterator[list[str]]:
-    """Whole texts in groups of about SLICE_BYTES; null becomes empty."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t or "")
-        size += len(group[-1])
-        if size >= SLICE_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def _count_batches(vocab_of) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocab_of.value
         split, merger, known = Pretokenizer(vocab["special"]), RaggedMerger(vocab), {}
-        for batch in batches:
-            out = []
-            for texts in slices(batch.column(0).to_pylist()):
-                pieces = [split(t) for t in texts]
-                new = [w for w in set().union(*map(set, pieces)) if w not in known]
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set().union(*map(set, pieces)))
-                plain = [w for w in new if w[0] != "\0" or w[1:] not in vocab["special"]]
-                known.update((w, 1) for w in new)
-                known.update(zip(plain, merger.counts([w.encode() for w in plain]).tolist()))
-                out += [sum(map(known.__getitem__, p)) for p in pieces]
+        for batch in pieces(batches, SLICE_BYTES):
+            words = [split(t or "") for t in batch.column(0).to_pylist()]
+            new = [w for w in set().union(*map(set, words)) if w not in known]
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = list(set().union(*map(set, words)))
+            plain = [w for w in new if w[0] != "\0" or w[1:] not in vocab["special"]]
+            known.update((w, 1) for w in new)
+            known.update(zip(plain, merger.counts([w.encode() for w in plain]).tolist()))
+            out = [sum(map(known.__getitem__, p)) for p in words]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.int64())], names=[*batch.schema.names[1:], "n_tokens"])
 
     return run
@@ -249,19 +261,19 @@ def _encode_batches(vocab_of, with_ids: bool) -> callable:
                 ids = encode(piece.encode())
             return np.array(ids, dtype="<u4").tobytes()
 
-        for batch in batches:
+        for batch in pieces(batches, SLICE_BYTES):
             n, ids_sha, text_sha, arrays = [], [], [], []
             for text in batch.column(0).to_pylist():
-                pieces = split(text or "")
-                for w in set(pieces):
+                words = split(text or "")
+                for w in set(words):
                     if w not in known:
                         if len(known) >= CACHE:
                             known.clear()
                         known[w] = ids_of(w)
                 try:
-                    packed = b"".join(map(known.__getitem__, pieces))
+                    packed = b"".join(map(known.__getitem__, words))
                 except KeyError:  # the cache was cleared while this text filled it
-                    packed = b"".join([known.get(w) or ids_of(w) for w in pieces])
+                    packed = b"".join([known.get(w) or ids_of(w) for w in words])
                 ids = np.frombuffer(packed, dtype="<u4")
                 decoded = b"".join(map(token_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
                 n.append(len(ids))
@@ -283,18 +295,12 @@ def _mapped(docs: DataFrame, text: str, run, added: str) -> DataFrame:
     made = {part.split()[0] for part in added.split(", ")}
     kept = [c for c in docs.columns if c != text and c not in made]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema), added])
-    return docs.select(text, *[f"`{c}`" for c in kept]).mapInArrow(run, schema)
-
-
-def _ship() -> None:
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return docs.select(f"`{text}`", *[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
     """Replace the text column by ``n_tokens``; see the module text for nulls and special strings."""
-    _ship()
+    ship(__name__)
     vocab = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
     return _mapped(docs, text, _count_batches(vocab), "n_tokens bigint")
 
@@ -304,7 +310,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", with_ids
 
     with_ids adds ``ids array<int>`` and the decoded text itself.
     """
-    _ship()
+    ship(__name__)
     vocab = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
     added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return _mapped(docs, text, _encode_batches(vocab, with_ids), added)

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .arrow import pieces, ship
 from .common import checkpointed, number_from_md5, remove, shared_folder, table
 
 #: An archive has LEAST_FILES files, and more of about RECORDS_PER_FILE records.
@@ -38,6 +38,7 @@ FANOUT = 16
 #: The pages have no date of capture of their own.
 CAPTURED = "2026-01-01T00:00:00Z"
 LEVEL = 6
+BATCH_BYTES = 8 << 20
 
 
 def record_text(ident: Column, url: Column, body: Column) -> Column:
@@ -71,7 +72,7 @@ def _member(record: bytes) -> bytes:
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, BATCH_BYTES):
         members = [_member(r.as_py().encode()) for r in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), *batch.columns[1:]], names=["member", *batch.schema.names[1:]])
 
@@ -146,12 +147,6 @@ def _write(folder: str, id_type: pa.DataType):
     return run
 
 
-def _ship() -> None:
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def _by_file(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("file_no").sortWithinPartitions("file_no", *order)
 
@@ -163,7 +158,7 @@ def write_archive(rows: DataFrame, folder: str) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    _ship()
+    ship(__name__)
     kind = rows.schema["page_id"].dataType
     members = rows.select("record", "page_id", "file_no", "record_bytes", "record_sha256")
     members = members.mapInArrow(_compressed, f"member binary, page_id {kind.simpleString()}, file_no bigint, record_bytes bigint, record_sha256 string")
@@ -203,7 +198,7 @@ def copy_archive(index: DataFrame, source: str, target: str, flip: Column | None
     flip: a bit of the stored member changes; cut: half of it is written; extra: it is written twice. cut and extra are for
     the last record of a file.
     """
-    _ship()
+    ship(__name__)
     no = F.lit(False)
     marks = [F.coalesce(no if c is None else c, no).alias(n) for n, c in (("flip", flip), ("cut", cut), ("extra", extra))]
     rows = index.select("file_no", "ordinal", "member_offset", "member_bytes", *marks)
@@ -265,7 +260,7 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
 
     A range that the file does not reach to has no row; bytes that are no gzip member have a digest of their own.
     """
-    _ship()
+    ship(__name__)
     rows = index.select("file_no", "ordinal", "record_offset", "record_bytes", "member_offset", "member_bytes")
     return checkpointed(_by_file(rows, "ordinal").mapInArrow(_read(folder), STORED))
 

@@ -10,6 +10,10 @@ complete seek table they are decoded one after the other.
 
 A text's payload is its UTF-8 bytes (none for null) and zero bytes up to a positive multiple of ``PAD``. Texts
 are processed whole, in groups of about ``ENCODE_BYTES`` and ``DECODE_BYTES``; a longer text is a group of its own.
+
+Defined results: null and the empty text have the same stream, of ``PAD`` zero bytes; repeated rows give repeated result
+rows and equal texts equal streams, so there are no ties to settle; an empty table gives no rows; other columns pass
+through, except that output names win over equal names of the input.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import pieces, ship
+
 BLOCK = 4096
 PAD = 64
 #: Payload bytes encoded at once, and stream bytes decoded at once; encoding needs some 150 bytes of memory for each.
@@ -509,29 +514,21 @@ def groups(values: list, size, most: int) -> Iterator[list]:
         yield group
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that one holds about DECODE_BYTES."""
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * DECODE_BYTES / max(batch.nbytes, 1)))
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
-
-
 def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, DECODE_BYTES):
         media = [m for g in groups([payload_of(t) for t in batch.column(0).to_pylist()], len, ENCODE_BYTES) for m in encode(g)]
         yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), *batch.columns[1:]], names=["media", *batch.schema.names[1:]])
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in pieces(batches):
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "block_offsets"]
+    for batch in pieces(batches, DECODE_BYTES):
         rows = []
         for g in groups(batch.column(0).to_pylist(), len, DECODE_BYTES):
             for media, blocks in zip(g, decode(g)):
                 pcm = b"".join(b for _, b in blocks)
-                rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(blocks)))
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(blocks), [o for o, _ in blocks]))
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())))]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names])
 
 
@@ -540,7 +537,7 @@ def round_trip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, DECODE_BYTES):
         decoded = [b for g in groups(batch.column(0).to_pylist(), len, DECODE_BYTES) for b in decode(g)]
         rows = np.repeat(np.arange(batch.num_rows), [len(b) for b in decoded])
         flat = [b for d in decoded for b in d]
@@ -549,9 +546,7 @@ def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _run(df: DataFrame, column: str, run, first: str, last: str) -> DataFrame:
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    ship(__name__)
     made = {part.split()[0] for part in ", ".join(filter(None, (first, last))).split(", ")}
     kept = [f for f in df.schema if f.name != column and f.name not in made]
     schema = ", ".join(filter(None, [first, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), last]))
@@ -563,11 +558,11 @@ def to_flac(df: DataFrame, text: str = "text") -> DataFrame:
     return _run(df, text, encode_batches, "media binary", "")
 
 
-DIGEST = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+DIGEST = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, block_offsets array<bigint>"
 
 
 def flac_digest(df: DataFrame) -> DataFrame:
-    """Decode ``media`` with every checksum verified, and replace it by digests and features."""
+    """Decode ``media`` with every checksum verified, and replace it by digests, features and the blocks' first samples."""
     return _run(df, "media", digest_batches, "", DIGEST)
 
 

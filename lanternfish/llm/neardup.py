@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import pieces, ship
 from .common import checkpointed, release, settled
 from .components import components
 
@@ -45,8 +45,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Texts of about so many bytes are hashed at once.
 GROUP_BYTES = 1 << 20
-#: Rows of an Arrow batch that are unpacked at once.
-ROWS_AT_ONCE = 500
+#: Rows and bytes of an Arrow batch that are unpacked at once.
+ROWS_AT_ONCE, BATCH_BYTES = 500, 8 << 20
 #: Slots in which prefix filtering counts shingles, to rank them.
 COUNTERS = 1 << 18
 TEXTS_PER_TASK = 2000
@@ -197,7 +197,7 @@ def grouped(raws: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, BATCH_BYTES):
         for a in range(0, batch.num_rows, ROWS_AT_ONCE):
             yield batch.slice(a, ROWS_AT_ONCE)
 
@@ -268,9 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     copies counts the rows with an equal text; links the tested links of the text to different texts. key (md5 of the
     text) and root (the least key of the class) tell texts and classes apart where ids repeat.
     """
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    ship(__name__)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = checkpointed(docs.select("text", "doc_id").mapInArrow(_sign(bands, rows), f"doc_id {id_type}, key binary, bands array<bigint>"))

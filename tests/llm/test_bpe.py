@@ -1,6 +1,7 @@
 """Both ways to merge against the tokenizers library."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -40,6 +41,27 @@ def test_counts_and_round_trip(spark, library):
         assert row["decoded_sha256"] == hashlib.sha256(row["decoded"].encode()).hexdigest()
 
 
+def test_pairs_that_are_no_merge_stay_apart():
+    """b"abc" is a token by ab and c only; a and bc do not join, though their bytes spell it."""
+    raw = {0: b"a", 1: b"b", 2: b"c", 3: b"bc", 4: b"ab", 5: b"abc", 6: b"b!"}
+    vocab = {"bytes": raw, "pairs": {(1, 2): (0, 3), (0, 1): (1, 4), (4, 2): (2, 5)}, "special": {}, "by_byte": [0] * 256}
+    vocab["by_byte"][97], vocab["by_byte"][98], vocab["by_byte"][99] = 0, 1, 2
+    encode = bpe.RankArray(vocab)
+    assert encode(b"abc") == [0, 3] == encode._long(b"abc") and encode(b"ab") == [4]
+    assert encode(b"abc" * 60) == [0, 3] * 60
+    assert bpe.RaggedMerger(vocab).counts([b"abc", b"ab", b"abcab"]).tolist() == [2, 1, 3]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"ignore_merges": True}}, {"added_tokens": [{"id": 50256, "content": "<x>", "lstrip": True}]}])
+def test_other_settings_are_refused(tmp_path, change):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for k, v in change.items():
+        spec[k] = spec[k] | v if isinstance(v, dict) and spec[k] else v
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match=next(iter(change))):
+        bpe.load_vocab(str(tmp_path / "t.json"))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.count_tokens(docs, PATH).collect() == [] and bpe.encode_decode(docs, PATH).collect() == []
