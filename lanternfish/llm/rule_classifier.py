@@ -4,12 +4,14 @@ Shallow gradient-boosted trees are grown on counts of a bounded sample of labell
 a node is a rule: a conjunction of comparisons. A logistic regression with an L1 penalty, fitted by accelerated
 proximal gradient, keeps few of these rules, and the kept ones are compiled to a column.
 
-The sample holds at most ``SAMPLE_PER_CLASS`` documents of either label, the first by a hash of their id, so the same
-tables give the same model; only their counts reach the driver. Inputs of a score are counts of the text, never
+The sample holds at most ``SAMPLE_PER_CLASS`` ids of either label, the first by a hash of their id, and of the rows with these
+ids, which may be more where ids repeat, the first ``SAMPLE_ROWS``; so the same tables give the same model, and only
+these rows' counts reach the driver. Inputs of a score are counts of the text, never
 labels, lang, source or ids.
 
 Defined results: null and empty texts are scored by their zero counts; a document with contradictory labels is no
-example; repeated rows count once in the sample; with examples of fewer than two classes the score is the share of
+example; repeated rows count once in the sample, and ids that tie in their hash are taken in their own order; a text of any
+length is counted whole, as one row; with examples of fewer than two classes the score is the share of
 label 1 (0.5 without any); an empty table gives no rows; columns of the input pass through, except that
 output names win over equal names.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import table, words
 
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS, SAMPLE_ROWS = 4000, 16_000
 TREES, DEPTH, RATE = 40, 3, 0.3
 BINS = 32
 MIN_LEAF = 8
@@ -108,6 +110,21 @@ def holds(x: np.ndarray, path: tuple) -> np.ndarray:
     return out
 
 
+def lasso(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients of a weighted logistic regression with an L1 penalty on all but the first, by accelerated proximal gradient."""
+    step = 4 / np.linalg.norm(z * np.sqrt(weight / len(y))[:, None], 2) ** 2
+    beta = ahead = np.zeros(z.shape[1])
+    t = 1.0
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30)))
+        new = ahead - step * (z.T @ (weight * (p - y))) / len(y)
+        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * L1, 0)
+        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead = new + (t - 1) / t_new * (new - beta)
+        beta, t = new, t_new
+    return beta
+
+
 def fit_rules(x: np.ndarray, y: np.ndarray) -> dict:
     """Rules and weights from features and 0/1 labels, by boosting and then L1 logistic regression."""
     if len(y) == 0 or y.min() == y.max():
@@ -141,16 +158,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> dict:
     mean = r.mean(axis=0)
     scale = np.maximum(np.sqrt(mean * (1 - mean)), 0.05)
     z = np.c_[np.ones(len(y)), (r - mean) / scale]
-    step = 4 / np.linalg.norm(z * np.sqrt(balance / len(y))[:, None], 2) ** 2
-    beta = ahead = np.zeros(z.shape[1])
-    t = 1.0
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30)))
-        new = ahead - step * (z.T @ (balance * (p - y))) / len(y)
-        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * L1, 0)
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead = new + (t - 1) / t_new * (new - beta)
-        beta, t = new, t_new
+    beta = lasso(z, y, balance)
     w = beta[1:] / scale
     keep = np.flatnonzero(np.abs(beta[1:]) > 1e-4)
     return {"intercept": float(beta[0] - (w[keep] * mean[keep]).sum()), "rules": [(rules[i], float(w[i])) for i in keep]}
@@ -180,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
     picked = picks[0].unionByName(picks[1])
     # bounded: 2 * per_class ids
     found = docs.select(F.col(f"`{ident}`").alias("_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "_id")
-    rows = with_features(found).groupBy("_id", "y", *FEATURES).agg(F.lit(1)).orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(4 * per_class).collect()
+    rows = with_features(found).groupBy("_id", "y", *FEATURES).agg(F.lit(1)).orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(SAMPLE_ROWS).collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
     return fit_rules(x, np.array([r["y"] for r in rows], dtype=np.float64))
 

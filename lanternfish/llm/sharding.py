@@ -10,8 +10,10 @@ slot is its rank there plus the rows of the shard before it.
 By default the key is a hash of the text, so equal texts lie together, and a boundary falls between equal
 texts only if their common key alone is too heavy for the tolerance.
 
-Defined results: a null text has no bytes (size 1, CRC of no bytes); repeated rows each get a slot of their own;
-an empty table gives no rows; other columns are ignored. Everything here is DataFrame operations.
+Defined results: a null text has no bytes (size 1, CRC of no bytes); a null key or tie counts as the least number, a null size
+as none; rows that tie in key and tie are ordered by the kept columns, and repeated rows each get a slot of their own; an
+empty table gives no rows; other columns are ignored, and of kept columns named size, shard or slot the output's win; a text of
+any length is one row, so a shard may be off by half of the longest. Everything here is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ TOLERANCE = 0.001
 MIN_INTERVALS, MAX_INTERVALS = 1 << 10, 1 << 16
 ROWS_PER_INTERVAL = 20_000
 REFINE_BITS = 6
+#: Intervals up to which their table is broadcast, some tens of bytes each; beyond, rows are joined by a shuffle.
+BROADCAST_INTERVALS = 1 << 19
+LEAST_LONG = -(1 << 63)
 
 
 def _top(col: Column, shift: int) -> Column:
@@ -102,11 +107,13 @@ def histogram_shards(docs: DataFrame, n_shards: int, size: Column, key: Column,
     Shards differ from an equal share by at most the tolerance or by half of one row, whichever is more.
     """
     spark = docs.sparkSession
-    rows = checkpointed(docs.select(*keep, size.cast("bigint").alias("size"), key.cast("bigint").alias("key"), tie.cast("bigint").alias("tie")))
-    names = [f.name for f in rows.schema if f.name not in ("key", "tie")]
+    whole = F.struct(*keep) if keep else F.struct(F.lit(0).alias("size"))
+    least = F.lit(LEAST_LONG)
+    rows = checkpointed(docs.select(whole.alias("_kept"), F.coalesce(size.cast("bigint"), F.lit(0)).alias("size"), F.coalesce(key.cast("bigint"), least).alias("key"), F.coalesce(tie.cast("bigint"), least).alias("tie")))
+    kept = [F.col(f"_kept.`{f.name}`").alias(f.name) for f in rows.schema["_kept"].dataType if f.name not in ("size", "shard", "slot")]
     seen = rows.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     if not seen["n"]:
-        return rows.select(*names, F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
+        return rows.select(*kept, "size", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     wanted = min(MAX_INTERVALS, max(MIN_INTERVALS, seen["n"] // ROWS_PER_INTERVAL))
     heavy = max(256, 4 * seen["n"] // wanted)
     h = _Histogram(rows, seen["lo"], seen["hi"], wanted)
@@ -139,10 +146,10 @@ def histogram_shards(docs: DataFrame, n_shards: int, size: Column, key: Column,
     places = spark.createDataFrame(shards, T.StructType([T.StructField(n, t) for n, t in (("level", T.IntegerType()), ("key_part", T.LongType()), ("tie_part", T.LongType()), ("shard", T.IntegerType()), ("before", T.LongType()))]))
     level, *parts = h.interval()
     cells = rows.withColumn("level", level).select("*", *parts)
-    rank = F.row_number().over(Window.partitionBy("level", "key_part", "tie_part").orderBy("key", "tie", *[F.col(n) for n in names])) - 1
-    # bounded: at most MAX_INTERVALS and what refining them adds, some tens of bytes each
-    placed = cells.withColumn("rank", rank).join(F.broadcast(places), ["level", "key_part", "tie_part"])
-    return placed.select(*names, "shard", (F.col("before") + F.col("rank")).cast("bigint").alias("slot"))
+    rank = F.row_number().over(Window.partitionBy("level", "key_part", "tie_part").orderBy("key", "tie", "size", "_kept")) - 1
+    small = len(shards) <= BROADCAST_INTERVALS
+    placed = cells.withColumn("rank", rank).join(F.broadcast(places) if small else places, ["level", "key_part", "tie_part"])
+    return placed.select(*kept, "size", "shard", (F.col("before") + F.col("rank")).cast("bigint").alias("slot"))
 
 
 def op1_query(spark, sf_dir: str, n_shards: int = 8) -> DataFrame:

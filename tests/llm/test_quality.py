@@ -98,3 +98,52 @@ def test_rules_hold_in_numpy_as_in_columns(spark):
     x = np.array([[r[f] for f in rule_classifier.FEATURES] for r in rows])
     z = model["intercept"] + sum(w * rule_classifier.holds(x, p) for p, w in model["rules"])
     assert np.allclose(1 / (1 + np.exp(-z)), [r["s"] for r in rows])
+
+
+def test_splits_equal_a_search_over_all():
+    """The root's split against every feature and cut, one after the other."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 4)).round(1)
+    y = ((x[:, 2] > 0.3) ^ (rng.random(120) < 0.1)).astype(float)
+    gradient, weight = y - 0.5, np.full(120, 0.25)
+    cuts = [(v[1:] + v[:-1]) / 2 for v in (np.unique(x[:, f]) for f in range(4))]
+    out = []
+    rule_classifier.grow(x, gradient, weight, cuts, np.arange(120), 1, (), out)
+    (f, at, _), = out[0][0]
+
+    def gain(f, at):
+        parts = [x[:, f] > at, x[:, f] <= at]
+        if min(p.sum() for p in parts) < rule_classifier.MIN_LEAF:
+            return 0.0
+        return sum(gradient[p].sum() ** 2 / (weight[p].sum() + 1) for p in parts) - gradient.sum() ** 2 / (weight.sum() + 1)
+
+    assert gain(f, at) == max(gain(k, c) for k in range(4) for c in cuts[k])
+    assert all(sorted(rows) == np.flatnonzero(rule_classifier.holds(x, path)).tolist() for path, rows, _, _ in out)
+
+
+def test_lasso_equals_a_second_solver():
+    """Against coordinate descent, and against the conditions that hold at the optimum alone."""
+    rng = np.random.default_rng(8)
+    z = np.c_[np.ones(300), rng.normal(size=(300, 6))]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(0.5 + 1.5 * z[:, 1] - z[:, 2])))).astype(float)
+    weight = np.where(y == 1, 0.8, 1.3)
+    beta = rule_classifier.lasso(z, y, weight)
+    other = np.zeros(7)
+    curve = (weight[:, None] * z**2).sum(axis=0) / 300 / 4
+    for _ in range(3000):
+        for j in range(7):
+            slope = (z[:, j] * weight * (1 / (1 + np.exp(-z @ other)) - y)).sum() / 300
+            moved = other[j] - slope / curve[j]
+            other[j] = moved if j == 0 else np.sign(moved) * max(abs(moved) - rule_classifier.L1 / curve[j], 0)
+    assert np.allclose(beta, other, atol=1e-4)
+    slopes = z.T @ (weight * (1 / (1 + np.exp(-z @ beta)) - y)) / 300
+    assert abs(slopes[0]) < 1e-6
+    for b, g in zip(beta[1:], slopes[1:]):
+        assert abs(g + np.sign(b) * rule_classifier.L1) < 1e-5 if b else abs(g) <= rule_classifier.L1 + 1e-6
+
+
+def test_classifier_on_ties_repeats_and_long_texts(spark):
+    docs, labels, _ = labelled(spark, 60)
+    odd = spark.createDataFrame([(7, "word " * 200_000, "en", 0.5)] * 2 + [(None, None, None, None)], docs.schema)
+    rows = rule_classifier.scored(docs.unionByName(odd), rule_classifier.train(docs.unionByName(odd), labels.unionByName(labels))).collect()
+    assert len(rows) == 65 and len({r["score"] for r in rows if r["doc_id"] == 7}) <= 2 and all(0 <= r["score"] <= 1 for r in rows)

@@ -50,8 +50,20 @@ def test_equal_texts_stay_together_where_bytes_allow(spark):
 
 def test_edges(spark):
     assert shards(spark.createDataFrame([], "doc_id long, size long, k long")) == []
-    one = shards(spark.createDataFrame([(None, 3, None)], "doc_id long, size long, k long").fillna(0, ["k"]))
+    one = shards(spark.createDataFrame([(None, 3, None)], "doc_id long, size long, k long"))
     assert len(one) == 1 and one[0]["slot"] == 0
+    mixed = shards(spark.createDataFrame([(i, None if i % 7 == 0 else 5, None if i % 3 else i) for i in range(900)], "doc_id long, size long, k long"), tolerance=0.01)
+    check([r.asDict() for r in mixed], 8, 50)
+    given = spark.createDataFrame([(i, "t" * i, 9, 8, 7, "s", i % 2) for i in range(50)], "doc_id long, text string, key int, tie int, size int, `a.b` string, shard int")
+    keep = [F.col("doc_id"), F.col("key"), F.col("tie"), F.col("size"), F.col("`a.b`"), F.col("shard")]
+    for small in (True, False):
+        if not small:
+            sharding.BROADCAST_INTERVALS, held = 0, sharding.BROADCAST_INTERVALS
+        got = sharding.histogram_shards(given, 4, F.length("text"), F.xxhash64("text"), F.xxhash64("doc_id"), keep)
+        assert got.columns == ["doc_id", "key", "tie", "a.b", "size", "shard", "slot"]
+        rows = got.collect()
+        assert {r["key"] for r in rows} == {9} and {r["tie"] for r in rows} == {8} and sorted(r["size"] for r in rows) == list(range(50)) and {r["shard"] for r in rows} == {0, 1, 2, 3}
+    sharding.BROADCAST_INTERVALS = held
     same = shards(spark.createDataFrame([(1, 2, 3)] * 20, "doc_id long, size long, k long"))
     assert sorted(r["slot"] for r in same) == list(range(20))
 
