@@ -39,6 +39,7 @@ FANOUT = 16
 CAPTURED = "2026-01-01T00:00:00Z"
 LEVEL = 6
 BATCH_BYTES = 8 << 20
+FILES_PER_TASK, MOST_TASKS = 4, 50_000
 
 
 def record_text(ident: Column, url: Column, body: Column) -> Column:
@@ -60,9 +61,12 @@ def record_text(ident: Column, url: Column, body: Column) -> Column:
     )
 
 
-def filed(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+def files_for(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> int:
+    return max(LEAST_FILES, -(-pages.count() // per_file))
+
+
+def filed(pages: DataFrame, files: int) -> DataFrame:
     """page_id, file_no, record, record_bytes and record_sha256 of each page, without a shuffle."""
-    files = max(LEAST_FILES, -(-pages.count() // per_file))
     rows = pages.select("page_id", record_text(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     return rows.select("page_id", F.pmod(number_from_md5(F.col("record")), F.lit(files)).alias("file_no"), "record", F.octet_length("record").cast("bigint").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
 
@@ -147,22 +151,28 @@ def _write(folder: str, id_type: pa.DataType):
     return run
 
 
-def _by_file(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartition("file_no").sortWithinPartitions("file_no", *order)
+def _by_file(rows: DataFrame, files: int, *order: str) -> DataFrame:
+    """Rows by file and in order, in tasks of some FILES_PER_TASK files whatever their number."""
+    tasks = min(MOST_TASKS, max(LEAST_FILES, -(-files // FILES_PER_TASK)))
+    return rows.repartition(tasks, "file_no").sortWithinPartitions("file_no", *order)
+
+
+def _files(index: DataFrame) -> int:
+    return (index.agg(F.max("file_no").alias("n")).first()["n"] or 0) + 1
 
 
-def write_archive(rows: DataFrame, folder: str) -> DataFrame:
-    """Write records as ``filed`` gives them to a folder; the index of what was written (INDEX and page_id).
+def write_archive(pages: DataFrame, folder: str, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """Write pages (page_id, url, html) to files in a folder; the index of what was written (INDEX and page_id).
 
     Members are compressed where the pages are read, so that only they are shuffled.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     ship(__name__)
-    kind = rows.schema["page_id"].dataType
-    members = rows.select("record", "page_id", "file_no", "record_bytes", "record_sha256")
+    kind, files = pages.schema["page_id"].dataType, files_for(pages, per_file)
+    members = filed(pages, files).select("record", "page_id", "file_no", "record_bytes", "record_sha256")
     members = members.mapInArrow(_compressed, f"member binary, page_id {kind.simpleString()}, file_no bigint, record_bytes bigint, record_sha256 string")
-    return checkpointed(_by_file(members, "page_id", "record_sha256").mapInArrow(_write(folder, to_arrow_type(kind)), f"{INDEX}, page_id {kind.simpleString()}"))
+    return checkpointed(_by_file(members, files, "page_id", "record_sha256").mapInArrow(_write(folder, to_arrow_type(kind)), f"{INDEX}, page_id {kind.simpleString()}"))
 
 
 def _copy(source: str, target: str):
@@ -202,7 +212,7 @@ def copy_archive(index: DataFrame, source: str, target: str, flip: Column | None
     no = F.lit(False)
     marks = [F.coalesce(no if c is None else c, no).alias(n) for n, c in (("flip", flip), ("cut", cut), ("extra", extra))]
     rows = index.select("file_no", "ordinal", "member_offset", "member_bytes", *marks)
-    _by_file(rows, "ordinal").mapInArrow(_copy(source, target), "file_no bigint").agg(F.count("*")).collect()
+    _by_file(rows, _files(index), "ordinal").mapInArrow(_copy(source, target), "file_no bigint").agg(F.count("*")).collect()
 
 
 def _members(data: bytes) -> Iterator[bytes]:
@@ -262,7 +272,7 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
     """
     ship(__name__)
     rows = index.select("file_no", "ordinal", "record_offset", "record_bytes", "member_offset", "member_bytes")
-    return checkpointed(_by_file(rows, "ordinal").mapInArrow(_read(folder), STORED))
+    return checkpointed(_by_file(rows, _files(index), "ordinal").mapInArrow(_read(folder), STORED))
 
 
 def leaf_hashes(rows: DataFrame, digest: str) -> DataFrame:
@@ -343,7 +353,7 @@ def op5_query(spark, sf_dir: str, per_file: int = RECORDS_PER_FILE) -> DataFrame
     records whose leaves the descent reached; a record too many bears the page of the one that it lies behind. The folder of the replicas is removed once both have been read.
     """
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    index = write_archive(filed(table(spark, sf_dir, "pages").select("page_id", "url", "html"), per_file), f"{folder}/a")
+    index = write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/a", per_file)
     last = F.max("ordinal").over(Window.partitionBy("file_no")) == F.col("ordinal")
     cut, extra = F.col("file_no") % 5 == 3, F.col("file_no") % 7 == 2
     marked = index.withColumn("last", last)

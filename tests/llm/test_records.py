@@ -18,7 +18,7 @@ def pages(n):
 
 
 def stored(spark, tmp_path, n, per_file):
-    index = fixity.write_archive(fixity.filed(spark.createDataFrame(pages(n), PAGES), per_file), f"{tmp_path}/a").cache()
+    index = fixity.write_archive(spark.createDataFrame(pages(n), PAGES), f"{tmp_path}/a", per_file).cache()
     return index, index.collect()
 
 
@@ -80,7 +80,7 @@ def test_audit_finds_exactly_the_damage(spark, tmp_path, n, per_file):
 
 
 def test_audit_of_nothing(spark, tmp_path):
-    index = fixity.write_archive(fixity.filed(spark.createDataFrame([], PAGES)), f"{tmp_path}/a")
+    index = fixity.write_archive(spark.createDataFrame([], PAGES), f"{tmp_path}/a")
     empty = fixity.leaf_hashes(fixity.read_archive(index, f"{tmp_path}/a"), "digest")
     assert index.collect() == [] and fixity.audit(empty, empty)[0].collect() == []
 
