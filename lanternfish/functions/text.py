@@ -39,10 +39,19 @@ SECRETS = [
 SECRET_MARKS = "-----begin|eyj|bearer|sk-|akia|asia|xox|gh[pousr]_|github_pat_|aiza|token|secret|passw|pwd|credential|api[-_]?key|private[-_]?key|authorization"
 # Prompts that the scheduler sends, not a person.
 ROUTINE = ["(?i)heartbeat check", f"(?i)^[{WS}]*(meanwhile,[{WS}]*)?context usage at", f"(?i)^[{WS}]*\\[?scheduled task"]
+# The envelope of a chat message: the message itself, and what else stands around it.
+CURRENT_MESSAGE = f"(?is)<current-message>[{WS}]*(.*?)[{WS}]*</current-message>"
+ENVELOPE = [
+    f"(?is)(?:^|\n)[{WS}]*----[{WS}]*reply via:[{WS}]*node[{WS}]+.*\\z",
+    "(?is)<replying-to>.*?</replying-to>",
+    f"(?is)^[{WS}]*\\[[^\\]]+\\][{WS}]+.*?(?<![A-Za-z0-9_])said:[{WS}]*",
+]
 # Keys of a prompt in a JSON request, in order of preference.
 PROMPT_KEYS = ["prompt", "userPrompt", "message", "input", "text"]
 # The date of a fixture that states none.
 FIXTURE_DATE = "2026-01-01"
+# A citation in an assembled context.
+CITED = f"\\[([^\\]\n]+?)[{WS}]+·[{WS}]+([^\\]\n]+?)\\]"
 TRUNCATED = "\n[truncated; read source file for full chunk]"
 
 
@@ -161,7 +170,7 @@ def citation(source: Column, date: Column, tier: Column, text: Column) -> Column
 
 def cited_sources(block: Column) -> Column:
     """Sources and dates of all citations in a block, as an array of (source, date)."""
-    pattern = F.lit(f"\\[([^\\]\n]+?)[{WS}]+·[{WS}]+([^\\]\n]+?)\\]")
+    pattern = F.lit(CITED)
     pairs = F.arrays_zip(F.regexp_extract_all(block, pattern, F.lit(1)).alias("source"), F.regexp_extract_all(block, pattern, F.lit(2)).alias("date"))
     return F.transform(pairs, lambda x: F.struct(x["source"].alias("source"), x["date"].alias("date")))
 
@@ -181,19 +190,22 @@ def redact(text: Column) -> Column:
 
 def current_message(text: Column) -> Column:
     """The body of the first current-message element, null without one."""
-    pattern = f"(?is)<current-message>[{WS}]*(.*?)[{WS}]*</current-message>"
-    return F.when(text.rlike(pattern), trim(F.regexp_extract(text, pattern, 1)))
+    return F.when(text.rlike(CURRENT_MESSAGE), trim(F.regexp_extract(text, CURRENT_MESSAGE, 1)))
 
 
 def normalize_prompt(text: Column) -> Column:
     """What a person asked, without the envelope of the message."""
-    t = trim(F.coalesce(text, F.lit("")))
-    bare = trim(F.regexp_replace(t, f"(?is)(?:^|\n)[{WS}]*----[{WS}]*reply via:[{WS}]*node[{WS}]+.*\\z", ""))
-    bare = trim(F.regexp_replace(bare, "(?is)<replying-to>.*?</replying-to>", ""))
-    bare = trim(F.regexp_replace(bare, f"(?is)^[{WS}]*\\[[^\\]]+\\][{WS}]+.*?(?<![A-Za-z0-9_])said:[{WS}]*", ""))
+    t = bare = trim(F.coalesce(text, F.lit("")))
+    for pattern in ENVELOPE:
+        bare = trim(F.regexp_replace(bare, pattern, ""))
     return F.coalesce(current_message(t), bare)
 
 
+def python_pattern(pattern: str) -> str:
+    """A pattern of this module as Python's own engine reads it."""
+    return pattern.replace("\\z", "\\Z")
+
+
 def clean_prompt(text: Column) -> Column:
     """As normalize_prompt, for transcripts: tails go from an extracted body too."""
     t = F.coalesce(current_message(text), text)

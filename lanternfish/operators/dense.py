@@ -1,7 +1,9 @@
 """Exact nearest neighbours of a batch of queries.
 
-Queries are a stated set, read in blocks of bounded bytes; each block meets every vector once, inside the
-scan's tasks, which keep their best k. Only these partial lists are shuffled.
+Queries are a stated set. Their matrix is broadcast, at most ``SCAN_BYTES`` of it at a time, and meets every vector once,
+inside the tasks of one scan, which keep their best k; a larger set takes another scan for each further part. Distances come
+from a matrix product, with a margin for its rounding; those near enough to count are computed again exactly. Only
+the tasks' lists are shuffled.
 """
 
 from __future__ import annotations
@@ -17,39 +19,46 @@ from pyspark.sql.window import Window
 
 from ..functions import scores as S
 
-BLOCK_BYTES = 16 << 20
-MAX_QUERIES = 1_000_000
+#: Bytes of query vectors that one scan carries.
+SCAN_BYTES = 256 << 20
+#: Distances that are held at once.
 TILE = 1 << 22
+ROWS = 2048
 
 
-def _nearest(query_ids: list, matrix: np.ndarray, top_k: int, types: tuple[pa.DataType, pa.DataType]):
-    def best(ids: np.ndarray, vectors: np.ndarray, held: list) -> list:
-        rows = max(1, TILE // max(1, matrix.shape[1] * len(vectors)))
-        for a in range(0, len(matrix), rows):
-            d = np.sqrt(((matrix[a : a + rows, None, :] - vectors[None]) ** 2).sum(axis=2))
-            k = min(top_k, d.shape[1])
-            edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-            for q in range(len(d)):
-                near = np.flatnonzero(d[q] <= edge[q])
+def _nearest(asked_of, top_k: int, types: tuple[pa.DataType, pa.DataType]):
+    def best(matrix: np.ndarray, norms: np.ndarray, ids: np.ndarray, vectors: np.ndarray, held: list) -> None:
+        own = (vectors**2).sum(axis=1)
+        margin = 1e-9 * (1 + norms.max() + own.max())
+        for a in range(0, len(matrix), max(1, TILE // len(vectors))):
+            block = slice(a, a + max(1, TILE // len(vectors)))
+            near = norms[block, None] + own[None] - 2 * (matrix[block] @ vectors.T)
+            k = min(top_k, near.shape[1])
+            edge = np.partition(near, k - 1, axis=1)[:, k - 1] + margin
+            for q in range(len(near)):
                 old_ids, old_d = held[a + q]
-                all_ids, all_d = np.concatenate([old_ids, ids[near]]), np.concatenate([old_d, d[q][near]])
+                limit = min(edge[q], old_d[-1] ** 2 + margin) if len(old_d) == top_k else edge[q]
+                at = np.flatnonzero(near[q] <= limit)
+                if not len(at):
+                    continue
+                d = np.sqrt(((matrix[a + q] - vectors[at]) ** 2).sum(axis=1))
+                all_ids, all_d = np.concatenate([old_ids, ids[at]]), np.concatenate([old_d, d])
                 keep = np.lexsort((all_ids, all_d))[:top_k]
                 held[a + q] = (all_ids[keep], all_d[keep])
-        return held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
+        query_ids, matrix = asked_of.value
+        norms, held = (matrix**2).sum(axis=1), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column(0).to_pylist())
-            vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            if vectors.ndim != 2 or vectors.shape[1] != matrix.shape[1]:
-                raise ValueError(f"vectors of {matrix.shape[1]} dimensions are needed")
-            if held is None:
-                held = [(ids[:0], np.zeros(0)) for _ in query_ids]
-            for a in range(0, len(ids), 2048):
-                held = best(ids[a : a + 2048], vectors[a : a + 2048], held)
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                ids = np.array(part.column(0).to_pylist())
+                vectors = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                if vectors.ndim != 2 or vectors.shape[1] != matrix.shape[1]:
+                    raise ValueError(f"vectors of {matrix.shape[1]} dimensions are needed")
+                if held is None:
+                    held = [(ids[:0], np.zeros(0)) for _ in query_ids]
+                best(matrix, norms, ids, vectors, held)
         if held is not None:
             n = [len(i) for i, _ in held]
             owner = [q for q, c in zip(query_ids, n) for _ in range(c)]
@@ -63,23 +72,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, top_k: int) -> DataFrame:
 
     queries: (query_id, vector); vectors: (id, vector). Distances are rounded to nine digits before they are ranked.
     """
-    asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
     kinds = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
     types = to_arrow_type(kinds[0]), to_arrow_type(kinds[1])
     schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, distance double"
-    dim = len(asked[0]["vector"]) if asked else 1
-    step = max(1, BLOCK_BYTES // (8 * dim))
-    parts = None
-    for a in range(0, max(len(asked), 1), step):
-        block = asked[a : a + step]
-        if not block:
-            found = vectors.sparkSession.createDataFrame([], schema)
-        else:
-            matrix = np.array([r["vector"] for r in block], dtype=np.float64)
-            found = vectors.select("id", "vector").mapInArrow(_nearest([r["query_id"] for r in block], matrix, top_k, types), schema)
-        parts = found if parts is None else parts.unionByName(found)
+    sc, parts, ids, rows, size = vectors.sparkSession.sparkContext, None, [], [], 0
+
+    def scanned() -> DataFrame:
+        asked = sc.broadcast((ids, np.array(rows, dtype=np.float64)))
+        found = vectors.select("id", "vector").mapInArrow(_nearest(asked, top_k, types), schema)
+        return found if parts is None else parts.unionByName(found)
+
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        ids.append(r["query_id"])
+        rows.append(r["vector"])
+        size += 8 * len(r["vector"])
+        if size >= SCAN_BYTES:
+            parts = scanned()
+            ids, rows, size = [], [], 0
+    if rows:
+        parts = scanned()
+    if parts is None:
+        parts = vectors.sparkSession.createDataFrame([], schema)
     parts = parts.withColumn("distance", F.round("distance", 9))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return parts.withColumn("dense_rank", rank).where(F.col("dense_rank") <= top_k).select("query_id", "id", "distance", S.distance_score(F.col("distance")).alias("score"), "dense_rank")

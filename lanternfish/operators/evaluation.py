@@ -85,13 +85,30 @@ def summarize(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def evaluate(cases: DataFrame, pools: DataFrame, grades: DataFrame, forbidden: DataFrame, retrieval: dict, now_ms: int, k: int = 5) -> DataFrame:
-    """All metrics of every case."""
+def evaluate(cases: DataFrame, pools: DataFrame, grades: DataFrame, forbidden: DataFrame, retrieval: dict, now_ms: int, k: int = 5, rerank=None) -> DataFrame:
+    """All metrics of every case; rerank, where given, maps the pooled candidates to those that it keeps."""
     rows = complete(pooled(pools, retrieval["topK"], ("case_id",)))
+    rows = rerank(rows) if rerank is not None else rows
     selected = gate(rows, retrieval, now_ms, keys=("case_id",)).where("drop_reason is null")
     return ranking_metrics(cases, pools, grades, k).join(injection_metrics(cases, selected, grades, forbidden), "case_id")
 
 
+def gating(results: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results that gate a baseline, and those of cases that only a usefulness filter can pass (``requires_filter``)."""
+    needs = cases.where(F.coalesce("requires_filter", F.lit(False))).select("case_id")
+    return results.join(needs, "case_id", "left_anti"), results.join(needs, "case_id", "left_semi")
+
+
+def report_lines(results: DataFrame) -> DataFrame:
+    """(case_id, line): a tab-separated line of each case, figures to three digits."""
+    def three(c: str):
+        return F.format_string("%.3f", F.col(c))
+
+    kind = F.when(F.coalesce(F.col("requires_filter"), F.lit(False)), "filter").when(F.col("should_hit"), "hit").otherwise("empty") if "requires_filter" in results.columns else F.when(F.col("should_hit"), "hit").otherwise("empty")
+    figures = [three(c) for c in ("precision_at_k", "recall_at_k", "mrr", "ndcg_at_k", "injected_recall", "injected_precision")]
+    return results.select("case_id", F.concat_ws("\t", F.col("case_id").cast("string"), kind, *figures, F.when(F.col("quiet"), "yes").otherwise("-"), F.col("forbid_violations").cast("string")).alias("line"))
+
+
 def sweep_values(spec: str) -> list[float]:
     """``start:end:step`` with the end included, or values between bars."""
     if ":" not in spec:

@@ -20,6 +20,32 @@ def overlap_scorer(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rerank_score", S.sigmoid(8 * share - 2))
 
 
+class OnnxReranker:
+    """A local ONNX cross-encoder with its tokenizer file; loaded once in each worker, on first use."""
+
+    def __init__(self, model_path: str, tokenizer_path: str, most_tokens: int = 512):
+        self.model_path, self.tokenizer_path, self.most_tokens, self._loaded = model_path, tokenizer_path, most_tokens, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_loaded": None}
+
+    def __call__(self, queries: list[str], passages: list[str]) -> np.ndarray:
+        """The last logit of each pair."""
+        if self._loaded is None:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(self.tokenizer_path)
+            tokenizer.enable_padding()
+            tokenizer.enable_truncation(self.most_tokens)
+            self._loaded = tokenizer, onnxruntime.InferenceSession(self.model_path)
+        tokenizer, session = self._loaded
+        coded = tokenizer.encode_batch(list(zip(queries, passages)))
+        known = {"input_ids": [c.ids for c in coded], "attention_mask": [c.attention_mask for c in coded], "token_type_ids": [c.type_ids for c in coded]}
+        logits = session.run(None, {i.name: np.array(known[i.name], dtype=np.int64) for i in session.get_inputs()})[0]
+        return logits.reshape(len(coded), -1)[:, -1]
+
+
 def model_scorer(score: Callable[[list[str], list[str]], np.ndarray], batch: int = 16) -> Callable[[DataFrame], DataFrame]:
     """A scorer from a model's function of queries and passages to its last logits."""
 

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from ..functions import scores as S
 from ..functions import text as X
 from .dense import nearest
-from .fulltext import search_text
+from .fulltext import TextIndex, occurrences, search_text
+from .shared import settled
 
 SCORES = ["score", "distance", "bm25_score", "fused_score", "normalized_fused", "rerank_score"]
 RANKS = ["dense_rank", "bm25_rank"]
@@ -30,7 +31,9 @@ CLOSING = "</retrieved-memory>"
 @dataclass(frozen=True)
 class Context:
     """queries: (query_id, query, vector); chunks: (id, text, source, section, hash, mtime, token_count, date, type);
-    vectors: (id, vector); live: (source, mtime_ms) or None, where every chunk counts as fresh."""
+    vectors: (id, vector); live: (source, mtime_ms) or None, where every chunk counts as fresh; index: stored postings, made
+    from the chunks where there are none; fail_open: keyword search and reranker run at once, and an error there leaves a
+    note in the log and the other candidates."""
 
     config: dict
     queries: DataFrame
@@ -44,6 +47,8 @@ class Context:
     selected: DataFrame | None = None
     assembled: DataFrame | None = None
     scorer: Callable[[DataFrame], DataFrame] | None = None
+    index: TextIndex | None = None
+    fail_open: bool = False
     few: bool | None = None
     log: tuple[tuple[str, DataFrame], ...] = ()
 
@@ -61,6 +66,18 @@ class Context:
         rows = rows.drop("source", "mtime")
         return complete((F.broadcast(rows) if self.few else rows).join(self.chunks, "id"))
 
+    def attempted(self, make: Callable[[], DataFrame]) -> tuple[DataFrame | None, str | None]:
+        """What a stage finds, or why it fails, where a failure is not to be the caller's."""
+        if not self.fail_open:
+            return make(), None
+        try:
+            return settled(make()), None
+        except Exception as e:  # whatever a store or model raises: retrieval goes on without it
+            return None, str(e).split("\n")[0][:200]
+
+    def failure(self, reason: str) -> DataFrame:
+        return self.queries.select("query_id", F.lit(0).cast("bigint").alias("count"), F.lit(True).alias("fail_open"), F.lit(reason).alias("reason"))
+
     def logged(self, stage: str, rows: DataFrame) -> Context:
         return replace(self, log=(*self.log, (stage, rows)))
 
@@ -104,7 +121,10 @@ def dense_retrieve(ctx: Context) -> Context:
 @stage("bm25Retrieve")
 def bm25_retrieve(ctx: Context) -> Context:
     ctx = ctx.counted()
-    rows = ctx.narrow(search_text(ctx.queries, ctx.chunks, ctx.config["retrieval"]["bm25TopK"])).withColumn("pos", F.col("bm25_rank"))
+    index = ctx.index or TextIndex(occurrences(ctx.chunks))
+    rows, reason = ctx.attempted(lambda: ctx.narrow(search_text(ctx.queries, index, ctx.config["retrieval"]["bm25TopK"])).withColumn("pos", F.col("bm25_rank")))
+    if rows is None:
+        return ctx.logged("bm25Retrieve", ctx.failure(reason))
     return replace(ctx, lists=ctx.lists | {"bm25": rows}).logged("bm25Retrieve", snapshot(rows, "bm25_score"))
 
 
@@ -114,9 +134,9 @@ def fuse(lists: dict[str, DataFrame], k: int) -> DataFrame:
     for i, (name, rows) in enumerate(lists.items()):
         part = rows.select("query_id", "id", "mtime", F.lit(name).alias("list"), (F.lit(i) * 1_000_000 + F.col("pos")).alias("seen"), F.row_number().over(Window.partitionBy("query_id").orderBy("pos")).alias("rank"), *SCORES[:3], *RANKS)
         parts = part if parts is None else parts.unionByName(part)
-    fused = parts.groupBy("query_id", "id").agg(F.sum(1 / (k + F.col("rank"))).alias("fused_score"), F.max("mtime").alias("mtime"), F.min("seen").alias("seen"), *[F.max(c).alias(c) for c in (*SCORES[:3], *RANKS)])
-    filled = parts.groupBy("query_id").agg(F.countDistinct("list").alias("n_lists"))
-    out = fused.join(filled, "query_id").withColumn("normalized_fused", F.col("fused_score") / (F.col("n_lists") / (k + 1)))
+    parts = parts.withColumn("n_lists", F.size(F.collect_set("list").over(Window.partitionBy("query_id"))))
+    fused = parts.groupBy("query_id", "id").agg(F.max("n_lists").alias("n_lists"), F.sum(1 / (k + F.col("rank"))).alias("fused_score"), F.max("mtime").alias("mtime"), F.min("seen").alias("seen"), *[F.max(c).alias(c) for c in (*SCORES[:3], *RANKS)])
+    out = fused.withColumn("normalized_fused", F.col("fused_score") / (F.col("n_lists") / (k + 1)))
     order = Window.partitionBy("query_id").orderBy(F.desc("normalized_fused"), F.desc_nulls_last("score"), F.desc_nulls_last("bm25_score"), F.desc("mtime"), "seen")
     return out.withColumn("pos", F.row_number().over(order)).drop("n_lists", "mtime", "seen")
 
@@ -129,15 +149,25 @@ def rrf_fuse(ctx: Context) -> Context:
     return replace(ctx, candidates=rows).logged("rrfFuse", snapshot(rows, "fused_score"))
 
 
+def _finite(scored: DataFrame) -> DataFrame:
+    """Scores as they are; one that is no number is an error."""
+    bad = F.col("rerank_score").isNull() | F.isnan("rerank_score")
+    return scored.withColumn("rerank_score", F.when(bad, F.raise_error(F.lit("reranker returned invalid scores")).cast("double")).otherwise(F.col("rerank_score")))
+
+
 @stage("rerankFilter")
 def rerank_filter(ctx: Context) -> Context:
-    """Keep the best candidates by a reranker, where one is given and switched on."""
+    """Keep the best candidates by a reranker, where one is given and switched on; all of them where it fails."""
     f = ctx.config["filter"]
-    if f["provider"] != "rerank" or ctx.scorer is None:
+    if f["provider"] == "rerank" and ctx.scorer is None:
+        return ctx.logged("rerankFilter", ctx.failure("reranker_unavailable"))
+    if f["provider"] != "rerank":
         return ctx.logged("rerankFilter", ctx.candidates.groupBy("query_id").agg(F.count("*").alias("count"), F.lit(False).alias("enabled")))
     asked = ctx.candidates.drop("rerank_score").join(ctx.queries.select("query_id", "query"), "query_id")
     passage = F.substring("text", 1, f["maxPassageTokens"] * 6)
-    scored = ctx.scorer(asked.withColumn("passage", passage)).drop("query", "passage").withColumn("kept", F.col("rerank_score") >= f["threshold"])
+    scored, reason = ctx.attempted(lambda: _finite(ctx.scorer(asked.withColumn("passage", passage)).drop("query", "passage")).withColumn("kept", F.col("rerank_score") >= f["threshold"]))
+    if scored is None:
+        return ctx.logged("rerankFilter", ctx.failure(reason))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc_nulls_last("score"), F.desc("mtime"), "pos")
     ranked = scored.where("kept").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= f["keepK"]).drop("kept")
     note = scored.groupBy("query_id").agg(F.count("*").alias("scored"), F.least(F.sum(F.col("kept").cast("int")), F.lit(f["keepK"])).alias("kept"))
@@ -187,9 +217,8 @@ def gate(rows: DataFrame, retrieval: dict, now_ms: int, live: DataFrame | None =
     order = Window.partitionBy(*keys, F.col("drop_reason").isNull()).orderBy(F.desc(F.round("final_score", 9)), F.desc("mtime"), "pos")
     placed = judged.withColumn("place", F.row_number().over(order))
     # a query has at most the candidates of its lists
-    items = F.array_sort(F.collect_list(F.when(F.col("drop_reason").isNull(), F.struct(F.col("place").alias("pos"), F.col("token_count").alias("tokens"))))).alias("items")
-    packed = placed.groupBy(*keys).agg(items).select(*keys, budget_positions(F.col("items"), retrieval["maxTotalTokens"], retrieval["chunkTokens"]).alias("packed"))
-    out = placed.join(packed, list(keys))
+    items = F.collect_list(F.when(F.col("drop_reason").isNull(), F.struct(F.col("place").alias("pos"), F.col("token_count").alias("tokens")))).over(Window.partitionBy(*keys))
+    out = placed.withColumn("packed", budget_positions(F.array_sort(items), retrieval["maxTotalTokens"], retrieval["chunkTokens"]))
     spot = F.array_position("packed", F.col("place"))
     out = out.withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & (spot == 0), "budget").otherwise(F.col("drop_reason")))
     return out.withColumn("rank", F.when(F.col("drop_reason").isNull(), spot.cast("int"))).drop("packed", "place", "stale")

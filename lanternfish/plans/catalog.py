@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from ..functions import globs
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import audit, chunking, dense, evaluation, fulltext, index, rerank, stages
+from ..operators.shared import remove, settled, shared_folder
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import freshness
@@ -87,14 +87,14 @@ def threshold_gate(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return fulltext.search_text(asked(spark, d), chunks_of(spark, d), 10)
+    return fulltext.search_text(asked(spark, d), fulltext.TextIndex(fulltext.occurrences(chunks_of(spark, d))), 10)
 
 
 @query
 def bm25_phrase(spark, d):
     pairs = F.split("query", r"\s+")
     queries = asked(spark, d).withColumn("query", F.concat(F.get(pairs, F.lit(0)), F.lit("_"), F.get(pairs, F.lit(1))))
-    counts = fulltext.phrase_counts(fulltext.query_phrases(queries), fulltext.postings(chunks_of(spark, d), ("text",)))
+    counts = fulltext.phrase_counts(fulltext.query_phrases(queries), fulltext.TextIndex(fulltext.occurrences(chunks_of(spark, d), ("text",))))
     return counts.select("query_id", "phrase_no", "id", "tf")
 
 
@@ -546,15 +546,5 @@ def stream_incremental_index(spark, d):
     return spark.read.parquet(state["path"])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; of one's own only where it names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return tempfile.mkdtemp(prefix="lanternfish-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
 def flagship(spark, d):
     return hybrid_retrieve(spark, d)

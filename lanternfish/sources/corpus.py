@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from ..functions.globs import Policy
+from ..functions.globs import Policy, listing_roots
 
 # Suffixes of Markdown files and folders that are never entered.
 SUFFIXES = (".md", ".markdown", ".mdown")
@@ -36,7 +36,12 @@ class Subtree(InputPartition):
 class CorpusReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [os.path.abspath(os.path.expanduser(r)) for r in json.loads(options.get("roots", "[]"))]
-        self.policy = Policy(json.loads(options.get("allow", '["**/*.md"]')), json.loads(options.get("deny", "[]")))
+        allow = json.loads(options.get("allow", '["**/*.md"]'))
+        self.policy = Policy(allow, json.loads(options.get("deny", "[]")))
+        # the first folders below a root that any allowed file can lie in; None: all of them
+        first = [r.split("/")[0] for r in listing_roots(allow)]
+        relative = not any(g.startswith("/") for g in allow)
+        self.first = None if not relative or any(f in (".", "*") for f in first) else {f.lower() for f in first}
         self.most = int(options.get("maxfilebytes", options.get("maxFileBytes", 524288)))
         self.content = str(options.get("content", "true")).lower() != "false"
 
@@ -50,7 +55,7 @@ class CorpusReader(DataSourceReader):
             if not os.path.isdir(root):
                 continue
             out.append(Subtree(root, i, root, False))
-            out += [Subtree(root, i, e.path, True) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and self._enters(root, e.path)]
+            out += [Subtree(root, i, e.path, True) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and (self.first is None or e.name.lower() in self.first) and self._enters(root, e.path)]
         return out or [Subtree("", 0, "", False)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
@@ -126,8 +131,8 @@ class MarkdownCorpus(DataSource):
         return CorpusReader(self.options)
 
 
-def read_corpus(spark, config: dict, content: bool = True):
-    """The files of the configured corpus; of equal names in several roots the last root's wins."""
+def read_corpus(spark, config: dict, content: bool = True, ordered: bool = False):
+    """The files of the configured corpus, by name if they are to be ordered; of equal names in several roots the last root's wins."""
     from pyspark.sql import functions as F
 
     spark.dataSource.register(MarkdownCorpus)
@@ -135,7 +140,8 @@ def read_corpus(spark, config: dict, content: bool = True):
     reader = spark.read.format("markdown_corpus").option("content", str(content).lower()).option("maxFileBytes", str(c["maxFileBytes"]))
     files = reader.options(**{k: json.dumps(c[k]) for k in ("roots", "allow", "deny")}).load()
     last = files.groupBy("source").agg(F.max("root_ord").alias("root_ord"))
-    return files.join(last, ["source", "root_ord"])
+    found = files.join(last, ["source", "root_ord"])
+    return found.orderBy("source") if ordered else found
 
 
 def corpus_changes(spark, config: dict):

@@ -57,7 +57,7 @@ def test_index_is_incremental(spark, tmp_path):
     assert freshness.build_index(spark, c, store, e, 3_000) == {"inserted": 0, "updated": 1, "unchanged": 1, "removed": 1, "total": 2}
     chunks = {r["section"]: r for r in store.table("chunks").collect()}
     assert chunks["B"]["created_at"] == 1_000 and chunks["B"]["updated_at"] == 3_000
-    assert store.table("vectors").count() == 2 and store.table("doc_stats").count() == 2
+    assert store.table("vectors").count() == 2 and store.counts()["indexed"] == 2
     other = embed.HashingEmbedder(16)
     assert freshness.build_index(spark, c, store, other, 4_000)["inserted"] == 2
     assert {len(r["vector"]) for r in store.table("vectors").collect()} == {16}

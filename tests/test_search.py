@@ -27,7 +27,7 @@ def test_bm25_equals_fts5(spark):
     queries = ["alpha", "cafe beta", "foo_bar gamma", "ZETA zeta Zeta", "nothing here", "纯中文 x", '"unbalanced alpha', "alpha NEAR beta*", "café cafe", "ｇａｍｍａ ﬁx"]
     chunks = spark.createDataFrame(rows, "id string, text string, source string, section string, mtime long")
     asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
-    got = {(r["query_id"], r["id"]): r["bm25_score"] for r in fulltext.bm25(asked, fulltext.postings(chunks), fulltext.doc_stats(chunks)).collect()}
+    got = {(r["query_id"], r["id"]): r["bm25_score"] for r in fulltext.bm25(asked, fulltext.TextIndex(fulltext.occurrences(chunks))).collect()}
     want = {}
     for i, q in enumerate(queries):
         seen = {}
@@ -38,7 +38,7 @@ def test_bm25_equals_fts5(spark):
             want[i, ident] = score
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    top = fulltext.search_text(asked, chunks, 3).collect()
+    top = fulltext.search_text(asked, fulltext.TextIndex(fulltext.occurrences(chunks)), 3).collect()
     assert max(r["bm25_rank"] for r in top) == 3
 
 
@@ -59,7 +59,7 @@ def test_nearest_equals_brute_force(spark):
 def test_nearest_in_blocks_and_empty(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "id long, vector array<double>")
     q = spark.createDataFrame([(i, [i + 0.1]) for i in range(9)], "query_id long, vector array<double>")
-    monkeypatch.setattr(dense, "BLOCK_BYTES", 32)
+    monkeypatch.setattr(dense, "SCAN_BYTES", 32)
     assert {(r["query_id"], r["id"]) for r in dense.nearest(q, v, 1).collect()} == {(i, i) for i in range(9)}
     assert dense.nearest(q.limit(0), v, 3).collect() == []
     assert dense.nearest(q, v.limit(0), 3).collect() == []
