@@ -53,13 +53,6 @@ def retrieval_context(spark: SparkSession, config: dict, store: index.IndexStore
     return stages.Context(config, asked(spark, embedder_of(config), prompts), store.table("chunks"), store.table("vectors").select("id", "vector"), now_ms, live, scorer=scorer_of(config), index=store.text_index(), fail_open=True)
 
 
-def golden_cases(spark: SparkSession, path: str):
-    """(id, query, expect, forbid, requires_filter) of a file of golden cases."""
-    schema = "id string, query string, expect array<struct<source:string,grade:int>>, forbid array<string>, requiresFilter boolean"
-    cases = spark.read.option("multiLine", True).schema(schema).json(path)
-    return cases.select("id", "query", "expect", "forbid", F.coalesce("requiresFilter", F.lit(False)).alias("requires_filter"))
-
-
 def baseline_floors(path: str | None) -> dict | None:
     """Floors of a baseline file, by the names of a summary's columns; None without a file."""
     if not path or not os.path.exists(path):
@@ -72,7 +65,7 @@ def baseline_floors(path: str | None) -> dict | None:
 
 def evaluate(spark: SparkSession, config: dict, store: index.IndexStore, golden: str, k: int, pool_k: int, now_ms: int, sweep: dict | None = None):
     """Metrics of golden cases over the index, or a sweep; pools are dense only, reranked where the settings say so."""
-    cases = golden_cases(spark, golden)
+    cases = evaluation.golden_cases(spark, golden)
     queries = embed.with_vectors(cases.select(F.col("id").alias("query_id"), "query"), embedder_of(config), "query", "query")
     found = stages.nearest(queries, store.table("vectors").select("id", "vector"), max(pool_k, config["retrieval"]["topK"]))
     pools = stages.complete(found.join(store.table("chunks"), "id").withColumnRenamed("query_id", "case_id").withColumn("source", X.normalize_source(F.col("source"))))

@@ -25,9 +25,9 @@ class ChunkOptions:
     overlap_ratio: float = 0.15  # part of the fingerprint only
 
 
-def lines_of(docs: DataFrame, key: str = "source", body: str = "text") -> DataFrame:
-    """(key, line_no, line, heading, is_heading, is_list, is_bold, blank, section_id) of each line."""
-    split = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), "\r?\n")).alias("line_no", "line"))
+def lines_of(docs: DataFrame, key: str = "source", body: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line_no, line, heading, is_heading, is_list, is_bold, blank, section_id) of each line, and carried columns."""
+    split = docs.select(key, *carry, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), "\r?\n")).alias("line_no", "line"))
     line = F.col("line")
     flags = split.select("*", X.is_heading(line).alias("is_heading"), X.is_list_item(line).alias("is_list"), X.is_bold_label(line).alias("is_bold"), X.is_blank(line).alias("blank"), X.heading_text(line).alias("heading"))
     order = Window.partitionBy(key).orderBy("line_no")
@@ -38,7 +38,7 @@ def _in_order(key: Column, value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))), lambda x: x["v"])
 
 
-def sections_of(lines: DataFrame, key: str = "source") -> DataFrame:
+def sections_of(lines: DataFrame, key: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, section_id, heading, slug, occurrence, text, tokens, list_items, bold_labels) of each non-empty section."""
     heading = F.coalesce(F.max(F.when(F.col("is_heading"), F.col("heading"))), F.lit("root"))
     grouped = lines.groupBy(key, "section_id").agg(
@@ -46,6 +46,7 @@ def sections_of(lines: DataFrame, key: str = "source") -> DataFrame:
         X.trim(F.array_join(_in_order(F.col("line_no"), F.col("line")), "\n")).alias("text"),
         F.sum(F.col("is_list").cast("bigint")).alias("list_items"),
         F.sum(F.col("is_bold").cast("bigint")).alias("bold_labels"),
+        *[F.max(c).alias(c) for c in carry],
     )
     kept = grouped.where("text <> ''").withColumn("slug", X.slugify(F.col("heading"))).withColumn("tokens", X.estimate_tokens(F.col("text")))
     order = Window.partitionBy(key, "slug").orderBy("section_id")
@@ -148,17 +149,16 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions | None = None) -> Dat
     Sections that need no split stay whole; parts of fewer than min_tokens are dropped and numbers not closed up.
     """
     o = options or ChunkOptions()
-    lines = lines_of(docs)
-    sections = sections_of(lines).withColumn("split", X.needs_split(F.col("tokens"), F.col("list_items"), F.col("bold_labels"), o.target_tokens, o.max_tokens))
+    lines = lines_of(docs, carry=("absolute_path", "mtime"))
+    sections = sections_of(lines, carry=("absolute_path", "mtime")).withColumn("split", X.needs_split(F.col("tokens"), F.col("list_items"), F.col("bold_labels"), o.target_tokens, o.max_tokens))
     split = sections.where("split").select("source", "section_id")
     parts = coalesce_units(units_of(lines.join(split, ["source", "section_id"], "left_semi")), o)
-    keys = ["source", "section_id", "heading", "slug", "occurrence"]
+    keys = ["source", "section_id", "heading", "slug", "occurrence", "absolute_path", "mtime"]
     whole = sections.where("not split").select(*keys, F.lit(0).alias("part"), F.col("text").alias("part_text"))
     cut = sections.where("split").select(*keys).join(parts, ["source", "section_id"])
     rows = whole.unionByName(cut).withColumn("part_text", X.trim(F.col("part_text"))).withColumn("token_count", X.estimate_tokens(F.col("part_text")).cast("int"))
     rows = rows.where((F.col("part_text") != "") & (F.col("token_count") >= o.min_tokens))
-    meta = docs.select("source", F.col("mtime"), F.struct(X.infer_date(F.col("absolute_path"), F.col("mtime")).alias("date"), X.infer_type(F.col("source")).alias("type")).alias("metadata"))
-    return rows.join(meta, "source").select(
+    return rows.select(
         X.chunk_id(F.col("source"), F.col("slug"), F.col("occurrence"), F.col("part")).alias("id"),
         F.col("part_text").alias("text"),
         "source",
@@ -166,7 +166,7 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions | None = None) -> Dat
         X.content_hash(F.col("part_text")).alias("hash"),
         "mtime",
         "token_count",
-        "metadata",
+        F.struct(X.infer_date(F.col("absolute_path"), F.col("mtime")).alias("date"), X.infer_type(F.col("source")).alias("type")).alias("metadata"),
     )
 
 

@@ -41,8 +41,8 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
             for w in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                row[h % self.dim] += 1 if h >> 63 else -1
+                h = hashlib.md5(w.encode()).digest()
+                row[int.from_bytes(h[:4], "big") % self.dim] += 1 if h[4] >> 7 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 

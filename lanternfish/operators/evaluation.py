@@ -93,6 +93,13 @@ def evaluate(cases: DataFrame, pools: DataFrame, grades: DataFrame, forbidden: D
     return ranking_metrics(cases, pools, grades, k).join(injection_metrics(cases, selected, grades, forbidden), "case_id")
 
 
+def golden_cases(spark, path: str, multi_line: bool = True) -> DataFrame:
+    """(id, query, expect, forbid, requires_filter) of a file of golden cases: one array, or a case on each line."""
+    schema = "id string, query string, expect array<struct<source:string,grade:int>>, forbid array<string>, requiresFilter boolean"
+    cases = spark.read.option("multiLine", multi_line).schema(schema).json(path)
+    return cases.select("id", "query", "expect", "forbid", F.coalesce("requiresFilter", F.lit(False)).alias("requires_filter"))
+
+
 def gating(results: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results that gate a baseline, and those of cases that only a usefulness filter can pass (``requires_filter``)."""
     needs = cases.where(F.coalesce("requires_filter", F.lit(False))).select("case_id")

@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from ..functions import globs
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import audit, chunking, dense, evaluation, fulltext, index, rerank, stages
+from ..operators import audit, chunking, dense, embed, evaluation, fulltext, index, rerank, stages
 from ..operators.shared import remove, settled, shared_folder
 from ..sources import tables
+from ..sources.corpus import read_corpus
 from ..sources.tables import table
 from ..streaming import freshness
 from . import config as settings
@@ -90,14 +91,64 @@ def bm25_topk(spark, d):
     return fulltext.search_text(asked(spark, d), fulltext.TextIndex(fulltext.occurrences(chunks_of(spark, d))), 10)
 
 
+def paired_words(text):
+    """Each pair of adjacent words joined by an underscore, which the index sees as a phrase."""
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.array_join(F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit("_"), F.get(found, i + 1))), " ")
+
+
 @query
 def bm25_phrase(spark, d):
-    pairs = F.split("query", r"\s+")
-    queries = asked(spark, d).withColumn("query", F.concat(F.get(pairs, F.lit(0)), F.lit("_"), F.get(pairs, F.lit(1))))
-    counts = fulltext.phrase_counts(fulltext.query_phrases(queries), fulltext.TextIndex(fulltext.occurrences(chunks_of(spark, d), ("text",))))
+    """Every pair of adjacent words of each query as a phrase, in all indexed columns."""
+    queries = asked(spark, d).withColumn("query", paired_words(F.col("query")))
+    counts = fulltext.phrase_counts(fulltext.query_phrases(queries), fulltext.TextIndex(fulltext.occurrences(chunks_of(spark, d))))
     return counts.select("query_id", "phrase_no", "id", "tf")
 
 
+def stored_index(spark, d) -> index.IndexStore:
+    """An index version of all documents in the shared folder."""
+    store = index.IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    store.init()
+    chunks = chunks_of(spark, d)
+    rows = chunks.select("id", "text", "source", "section", "hash", "mtime", "token_count", "date", "type", F.lit(1).cast("bigint").alias("created_at"), F.lit(2).cast("bigint").alias("updated_at"))
+    vectors = vectors_of(spark, d).join(chunks.select("id", "hash"), "id").select("id", "hash", F.lit("mine").alias("embedder_id"), F.col("vector").cast("array<float>").alias("vector"))
+    store.write(rows, vectors, {"embedder_id": "mine", "embedder_dimension": 64})
+    return store
+
+
+@query
+def stored_search(spark, d):
+    """Keyword search over the stored postings; equal to the search that tokenises."""
+    store = stored_index(spark, d)
+    found = settled(fulltext.search_text(asked(spark, d), store.text_index(), 10))
+    remove(spark, store.folder)
+    return found
+
+
+@query
+def index_counts(spark, d):
+    """What the stored index tells of itself: rows, tables and meta data, after one of these was replaced."""
+    store = stored_index(spark, d)
+    store.set_meta({"embedder_id": "yours"})
+    n = store.counts()
+    row = (n["chunks"], n["indexed"], n["vectors"], n["files"], store.exists("postings"), store.exists("nothing"), str(store.meta("embedder_id")), str(store.meta("embedder_dimension")), store.meta("unknown") is None, store.backfill())
+    remove(spark, store.folder)
+    return spark.createDataFrame([row], "chunks bigint, indexed bigint, vectors bigint, files bigint, has_postings boolean, has_nothing boolean, embedder_id string, embedder_dimension string, unknown_is_null boolean, backfilled boolean")
+
+
+@query
+def reindex_needed(spark, d):
+    """Chunks that another embedder has to embed again, and those whose vectors the same one keeps."""
+    chunks = chunks_of(spark, d)
+    held = chunks.select("id", "hash", F.lit("mine").alias("embedder_id"))
+    out = None
+    for name in ("mine", "other"):
+        todo, kept = index.split_by_vector(chunks, held, name)
+        one = todo.agg(F.count("*").alias("todo")).join(kept.agg(F.count("*").alias("kept"))).select(F.lit(name).alias("embedder_id"), "todo", "kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def rrf_fuse(spark, d):
     rows = fused(spark, d).candidates
@@ -123,8 +174,8 @@ def drop_reasons(spark, d):
 
 @query
 def dedup_by_hash(spark, d):
-    rows = chunks_of(spark, d).select("source", "hash", F.row_number().over(Window.partitionBy("hash").orderBy("doc_id")).alias("n"))
-    return rows.where("n = 1").select("source", "hash")
+    """The first source of each content, reduced before the shuffle."""
+    return chunks_of(spark, d).groupBy("hash").agg(F.min_by("source", "doc_id").alias("source"))
 
 
 @query
@@ -181,7 +232,7 @@ def recall_items(spark, d):
 
 @query
 def recall_text(spark, d):
-    return stages.recall_text(stages.recall_items(after(fused(spark, d), "freeGates").selected).withColumn("text", F.substring("text", 1, 40)).withColumn("cosine", F.round("cosine", 3)).withColumn("bm25", F.lit(None).cast("double")).withColumn("fused", F.lit(None).cast("double")))
+    return stages.recall_text(stages.recall_items(after(fused(spark, d), "freeGates").selected))
 
 
 @query
@@ -218,7 +269,7 @@ def estimate_tokens(spark, d):
 
 @query
 def slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query
@@ -241,7 +292,7 @@ def infer_type_date(spark, d):
 @query
 def citation_line(spark, d):
     rows = chunks_of(spark, d)
-    return rows.select("id", X.citation(F.col("source"), F.col("date"), F.col("type"), F.substring("text", 1, 50)).alias("line"))
+    return rows.select("id", X.citation(F.col("source"), F.col("date"), F.col("type"), F.col("text")).alias("line"))
 
 
 @query
@@ -277,7 +328,7 @@ def clean_prompt(spark, d):
 @query
 def substantive_filter(spark, d):
     rows = table(spark, d, "conversations")
-    text = F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 9)).when(F.col("turn") == 4, F.concat(F.lit("Heartbeat CHECK "), "text")).otherwise(F.col("text"))
+    text = F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") == 4, F.concat(F.lit("Heartbeat CHECK "), "text")).otherwise(F.col("text"))
     return rows.select("conv_id", "turn", X.is_substantive(text).alias("substantive"))
 
 
@@ -337,7 +388,8 @@ def coalesce_units(spark, d):
 
 @query
 def chunk_documents(spark, d):
-    return chunking.chunk_documents(tables.markdown_documents(table(spark, d, "conversations")), OPTIONS)
+    rows = chunking.chunk_documents(tables.markdown_documents(table(spark, d, "conversations")), OPTIONS)
+    return rows.select("id", "text", "source", "section", "hash", "mtime", "token_count", "metadata.date", "metadata.type")
 
 
 @query
@@ -428,7 +480,7 @@ def toc_tier(spark, d):
 
 @query
 def toc_text(spark, d):
-    return audit.toc_text(audit.toc(toc_rows(spark, d)), full=True)
+    return audit.toc_lines(audit.toc(toc_rows(spark, d)), full=True)
 
 
 # --- evaluation
@@ -442,7 +494,7 @@ def judged(spark, d):
     vectors = named.join(all_, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("id"), F.col("embedding").alias("vector"))
     pools = dense.nearest(asked_.select(F.col("case_id").alias("query_id"), "vector"), vectors, POOL_K).withColumnRenamed("query_id", "case_id")
     pools = pools.join(named.drop("id").withColumn("id", F.col("doc_id")), "id").withColumn("score", F.round("score", 9))
-    relevant = all_.where("label < 9 and vec_id % 5 <> 0").select("label", F.col("vec_id").cast("string").alias("source"), (F.col("vec_id") % 3 + 1).alias("grade"))
+    relevant = all_.where("label < 9").select("label", F.col("vec_id").cast("string").alias("source"), (F.col("vec_id") % 3 + 1).alias("grade"))
     grades = asked_.select("case_id", "label").join(relevant, "label").select("case_id", "source", "grade")
     banned = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("source")).distinct()
     forbidden = pools.join(banned, "source", "left_semi").select("case_id", "source").distinct()
@@ -471,9 +523,25 @@ def eval_summary(spark, d):
 
 @query
 def baseline_gate(spark, d):
-    floors = {"mean_ndcg_at_k": 0.1, "injected_f1": 0.0, "quiet_accuracy": 0.0, "max_forbid_violations": 50}
-    summary = evaluation.summarize(evaluation.evaluate(*judged(spark, d), RETRIEVAL, NOW_MS))
-    return evaluation.passes(summary, floors).select("cases", "passes")
+    low = {"mean_ndcg_at_k": 0.05, "injected_f1": 0.001, "quiet_accuracy": 0.0, "max_forbid_violations": 1_000_000}
+    high = {"mean_ndcg_at_k": 0.05, "injected_f1": 0.999, "quiet_accuracy": 0.0, "max_forbid_violations": 1_000_000}
+    summary = settled(evaluation.summarize(evaluation.evaluate(*judged(spark, d), RETRIEVAL, NOW_MS)))
+    rows = [evaluation.passes(summary, f).select(F.lit(name).alias("floors"), "cases", "passes") for name, f in (("low", low), ("high", high), ("none", {"max_forbid_violations": -1}))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def golden_partition(spark, d):
+    """Golden cases read from a file, and how many of them gate a baseline, by what they expect."""
+    path = f"{shared_folder(spark)}/golden-{uuid.uuid4().hex}"
+    cases = table(spark, d, "benchmark").select(F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("query"), F.when(F.col("item_id") % 3 > 0, F.array(F.struct(F.lit("corpus/a.md").alias("source"), F.lit(2).alias("grade")))).otherwise(F.array().cast("array<struct<source:string,grade:int>>")).alias("expect"), F.array(F.lit("corpus/b.md")).alias("forbid"), F.when(F.col("item_id") % 4 == 0, True).alias("requiresFilter"))
+    cases.write.json(path)
+    read = settled(evaluation.golden_cases(spark, path, multi_line=False))
+    remove(spark, path)
+    shown = read.withColumn("should_hit", F.size("expect") > 0).withColumnRenamed("id", "case_id")
+    gating, needs = evaluation.gating(shown.drop("requires_filter"), shown.select("case_id", "requires_filter"))
+    rows = gating.withColumn("gates", F.lit(True)).unionByName(needs.withColumn("gates", F.lit(False)))
+    return rows.groupBy("gates", "should_hit").agg(F.count("*").alias("cases"), F.sum(F.length("query")).alias("chars"), F.min("forbid").getItem(0).alias("forbid"))
 
 
 @query
@@ -483,7 +551,96 @@ def sweep_grid(spark, d):
     return rounded_all(rows.select("threshold", "recency_weight", "top_k", "injected_f1", "injected_recall", "quiet_accuracy", "mean_ndcg_at_k", "forbid_violations", "place"))
 
 
-# --- logs and transcripts
+# --- files, logs and transcripts
+
+
+def written(rows: DataFrame, folder: str) -> None:
+    """Write texts (path, text) as files below a folder that driver and executors share."""
+    root = folder.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                full = f"{root}/{path}"
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(f"{full}.part", "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+                os.replace(f"{full}.part", full)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("path", "text").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+@query
+def corpus_walk(spark, d):
+    """Markdown files below two roots, read by the corpus source: of one name the later root's, none that the policy denies."""
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = tables.markdown_documents(table(spark, d, "conversations")).withColumn("n", F.regexp_extract("source", "([0-9]+)[.]md", 1).cast("bigint"))
+    number = F.col("n")
+    secret = docs.withColumn("source", F.when(number % 5 == 1, F.regexp_replace("source", "sessions/", "sessions/api-keys/")).when(number % 5 == 2, F.regexp_replace("source", "[.]md$", ".txt")).when(number % 5 == 3, F.regexp_replace("source", "[.]md$", ".MARKDOWN")).otherwise(F.col("source")))
+    one = secret.where(number % 3 != 2).select(F.concat(F.lit("one/"), "source").alias("path"), "text")
+    two = secret.where(number % 3 != 0).select(F.concat(F.lit("two/"), "source").alias("path"), F.concat("text", F.lit("\n\nlater")).alias("text"))
+    written(one.unionByName(two), folder)
+    roots = [f"{folder}/{r}".removeprefix("file://").removeprefix("file:") for r in ("one", "two")]
+    config = settings.make({"corpus": {"roots": [*roots, f"{roots[0]}-missing"], "allow": ["memory/sessions/**"], "maxFileBytes": 4000}})
+    found = settled(read_corpus(spark, config, ordered=True).select("source", "root_ord", "size", F.sha2("text", 256).alias("hash")))
+    remove(spark, folder)
+    return found
+
+
+@query
+def log_round_trip(spark, d):
+    """A log appended to twice as lines of JSON and read back: its last records by time."""
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    log = event_log(spark, d).select("kind", "ts", "query_hash", "outcome", "duration_ms", "injected", "event_id")
+    audit.append_log(log.where("event_id % 2 = 0"), folder)
+    audit.append_log(log.where("event_id % 2 = 1"), folder)
+    read = settled(audit.read_log(spark, folder).withColumn("line_no", F.try_variant_get("record", "$.event_id", "bigint")))
+    remove(spark, folder)
+    last = audit.last_records(read, 20)
+    return last.select(F.col("line_no").alias("event_id"), "ts", audit.log_kind(F.col("kind")).alias("kind"), "query_hash", "duration_ms")
+
+
+@query
+def transcript_sessions(spark, d):
+    """Conversations as transcript files, read back: prompts and injected turns of each."""
+    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    user = F.to_json(F.struct(F.lit("user").alias("type"), (F.col("turn") == 2).alias("isMeta"), F.struct(F.col("text").alias("content")).alias("message")))
+    block = F.concat(F.lit("<retrieved-memory>\n[a.md · 2026-01-01] "), "text")
+    attached = F.to_json(F.struct(F.lit("attachment").alias("type"), F.struct(F.lit("hook_additional_context").alias("type"), F.array(block).alias("content")).alias("attachment")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", user).when(F.col("turn") % 3 == 1, attached).otherwise(F.lit("{broken")).alias("line"))
+    files = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    written(files.select(F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), "text"), folder)
+    lines = audit.transcript_lines(spark, folder)
+    found = settled(audit.session_summary(audit.turns(lines)).select(F.regexp_extract("session", "([0-9]+)[.]jsonl", 1).cast("bigint").alias("conv_id"), "turns", "injected_turns"))
+    remove(spark, folder)
+    return found
+
+
+@query
+def hashed_vectors(spark, d):
+    """Vectors of the benchmark's texts by the hashing embedder, a row for each component that is not nil."""
+    rows = embed.with_vectors(table(spark, d, "benchmark").select("item_id", "text"), embed.HashingEmbedder(16), "passage")
+    parts = rows.select("item_id", F.posexplode("vector").alias("i", "x")).where("x <> 0")
+    return parts.select("item_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query
+def clamped_overrides(spark, d):
+    """What callers ask for, floored and kept within a tool's bounds."""
+    low, high = settings.TOOL_BOUNDS["topK"]
+    return table(spark, d, "events").select("event_id", S.clamp(F.col("value") - 20, low, high).cast("bigint").alias("top_k"))
+
+
+@query
+def golden_sources(spark, d):
+    docs = table(spark, d, "documents")
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("corpus/"), "source")).otherwise(F.col("source"))
+    return docs.select("doc_id", X.normalize_source(given).alias("source"))
 
 
 def event_log(spark, d):
@@ -529,7 +686,7 @@ def stream_incremental_index(spark, d):
     folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents")
     for i in range(3):
-        docs.where(F.pmod("doc_id", F.lit(3)) == i).write.mode("append").parquet(f"{folder}/in")
+        docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)) == i).write.mode("append").parquet(f"{folder}/in")
     state = {"path": None}
 
     def merge(batch: DataFrame, n: int) -> None:
@@ -543,7 +700,9 @@ def stream_incremental_index(spark, d):
 
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{folder}/cp").start().awaitTermination()
-    return spark.read.parquet(state["path"])
+    last = settled(spark.read.parquet(state["path"]))
+    remove(spark, folder)
+    return last
 
 
 def flagship(spark, d):

@@ -1,4 +1,7 @@
-"""Chunking against a plain loop with the same rules, on random Markdown."""
+"""Chunking by what the rules promise: bounds, places, sizes and order, on random Markdown.
+
+The registered queries coalesce_units and chunk_documents are held against recursive SQL.
+"""
 
 import math
 import random
@@ -17,61 +20,21 @@ def parts_of(text):
     return latin + math.ceil(len(rest) / 3)
 
 
-def plain_chunks(text, o):
-    """(heading, occurrence, part, text) of each chunk."""
-    heading = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
-    listed, label = re.compile(r"^(?:[-*+]\s+|\d+[.)]\s+)"), re.compile(r"^(?:(?:[-*+]\s+|\d+[.)]\s+))?\*\*[^*\n]{1,120}:\*\*")
-    sections = [["root", []]]
-    for line in text.split("\n"):
-        if m := heading.match(line):
-            sections.append([m[2].strip(), []])
-        sections[-1][1].append(line)
-    out, seen = [], {}
-    for head, lines in sections:
-        body = "\n".join(lines).strip()
-        if not body:
-            continue
-        n_list, n_bold, size = sum(bool(listed.match(x)) for x in lines), sum(bool(label.match(x)) for x in lines), parts_of(body)
-        pieces = [body]
-        if size > o.max_tokens or (n_bold >= 2 and n_list >= 3) or (n_list >= 3 and size > o.target_tokens):
-            units, blank = [[]], False
-            for i, line in enumerate(lines):
-                if i and line.strip() and (blank or heading.match(line) or listed.match(line) or label.match(line)):
-                    units.append([])
-                units[-1].append(line)
-                blank = not line.strip()
-            pieces, held = [], []
-            for u in filter(None, ("\n".join(u).strip() for u in units)):
-                n, joined = parts_of(u), "\n\n".join([*held, u])
-                if n > o.max_tokens:
-                    pieces += ["\n\n".join(held)] if held else []
-                    words = u.split()
-                    pieces += [" ".join(words[i : i + o.max_tokens]) for i in range(0, len(words), o.target_tokens)]
-                    held = []
-                elif n >= o.min_tokens:
-                    if held and parts_of(joined) <= o.max_tokens:
-                        pieces.append(joined)
-                    else:
-                        pieces += ["\n\n".join(held), u] if held else [u]
-                    held = []
-                else:
-                    if held and parts_of(joined) > o.max_tokens:
-                        pieces.append("\n\n".join(held))
-                        held = []
-                    held.append(u)
-                    if parts_of("\n\n".join(held)) >= o.min_tokens:
-                        pieces.append("\n\n".join(held))
-                        held = []
-            if held:
-                tail = "\n\n".join(held)
-                if pieces and parts_of(pieces[-1] + "\n\n" + tail) <= o.max_tokens:
-                    pieces[-1] += "\n\n" + tail
-                else:
-                    pieces.append(tail)
-        slug = re.sub(r"[^a-z0-9]+", "-", head.lower()).strip("-") or "root"
-        occurrence = seen[slug] = seen.get(slug, -1) + 1
-        out += [(head, occurrence, i, p) for i, p in enumerate(pieces) if parts_of(p) >= o.min_tokens]
-    return out
+def sections(text):
+    """(heading, text) of each stretch that a heading line begins."""
+    starts = [m.start() for m in re.finditer(r"^#{1,6}\s+\S", text, re.M)]
+    bounds = sorted({0, *starts, len(text)})
+    found = []
+    for a, b in zip(bounds, bounds[1:]):
+        head = re.match(r"#{1,6}\s+(.*?)[\s#]*(?:\n|$)", text[a:b]) if a in starts else None
+        found.append((head[1].strip() if head else "root", text[a:b].strip()))
+    return [(h, t) for h, t in found if t]
+
+
+def is_dense(text, o):
+    items = re.findall(r"^(?:[-*+]|\d+[.)])\s", text, re.M)
+    labels = re.findall(r"^(?:(?:[-*+]|\d+[.)])\s+)?\*\*[^*\n]{1,120}:\*\*", text, re.M)
+    return len(items) >= 3 and (len(labels) >= 2 or parts_of(text) > o.target_tokens)
 
 
 def random_markdown(rng):
@@ -82,17 +45,50 @@ def random_markdown(rng):
     return "\n".join(lines)
 
 
-def test_chunks_equal_the_plain_loop(spark):
-    rng = random.Random(7)
+def test_chunks_keep_the_rules(spark):
+    rng, o = random.Random(7), OPTIONS
     texts = [random_markdown(rng) for _ in range(150)] + ["", "\n\n", "# Only", "no heading here at all my friend today"]
     docs = spark.createDataFrame([(f"memory/users/{i}.md", f"/c/memory/users/{i}.md", t, 86_400_000) for i, t in enumerate(texts)], "source string, absolute_path string, text string, mtime long")
-    got = C.chunk_documents(docs, OPTIONS).select("source", "section", "text", "id", "token_count", "metadata.type", "metadata.date").collect()
-    have = sorted((r["source"], r["section"], r["text"]) for r in got)
-    want = sorted((f"memory/users/{i}.md", h, p) for i, t in enumerate(texts) for h, _, _, p in plain_chunks(t, OPTIONS))
-    assert have == want
+    got = C.chunk_documents(docs, o).select("source", "section", "text", "id", "token_count", "metadata.type", "metadata.date").collect()
     assert {r["type"] for r in got} == {"memory"} and {r["date"] for r in got} == {"1970-01-02"}
     assert len({r["id"] for r in got}) == len(got)
-    assert all(r["token_count"] == parts_of(r["text"]) for r in got)
+    assert all(r["token_count"] == parts_of(r["text"]) >= o.min_tokens and r["text"] == r["text"].strip() for r in got)
+    by_section = {}
+    for r in got:
+        by_section.setdefault((r["source"], r["section"]), []).append(r["text"])
+    known = set()
+    for i, text in enumerate(texts):
+        same = {}
+        for head, body in sections(text):
+            same.setdefault(head, []).append(body)
+        for head, bodies in same.items():
+            known.add((f"memory/users/{i}.md", head))
+            made = by_section.get((f"memory/users/{i}.md", head), [])
+            whole = [b for b in bodies if parts_of(b) <= o.max_tokens and not is_dense(b, o)]
+            # what needs no split is one chunk as it stands, if it is large enough
+            assert sorted(b for b in whole if parts_of(b) >= o.min_tokens) == sorted(c for c in made if c in whole)
+            cut = [b for b in bodies if b not in whole]
+            pieces = [c for c in made if c not in whole]
+            assert cut or not pieces
+            for c in pieces:
+                # a piece is words of its section side by side, and within the bound but for words that a window cuts
+                assert any(" ".join(c.split()) in " ".join(b.split()) or len(c.split()) > o.max_tokens - o.min_tokens for b in cut)
+                assert parts_of(c) <= o.max_tokens or len(max(c.split("\n\n"), key=len).split()) <= o.max_tokens
+            for b in cut:
+                # every paragraph that is large enough stands in some piece, whole or in windows
+                for unit in re.split(r"\n\s*\n", b):
+                    if o.min_tokens <= parts_of(unit) <= o.max_tokens and "\n" not in unit.strip():
+                        assert any(unit.strip() in c for c in pieces)
+    assert set(by_section) <= known
+
+
+def test_small_units_join_and_long_ones_are_cut(spark):
+    small = "\n".join(f"- item {k}" for k in range(5))
+    long = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([("a.md", "/c/a.md", f"# List\n\n{small}\n\n{long}\n\nend", 0)], "source string, absolute_path string, text string, mtime long")
+    got = [r["text"] for r in C.chunk_documents(docs, OPTIONS).collect()]
+    windows = [" ".join(f"w{k}" for k in range(a, min(a + 18, 40))) for a in (0, 12, 24, 36)]
+    assert sorted(got) == sorted(["# List\n\n- item 0\n\n- item 1", "- item 2\n\n- item 3\n\n- item 4", *windows[:3], windows[3] + "\n\nend"])
 
 
 @pytest.mark.parametrize("ending", ["\n", "\r\n"])

@@ -22,7 +22,7 @@ def write(root, name, text, mtime=1_700_000_000):
 
 
 def conf(*roots, **corpus):
-    return settings.make({"corpus": {"roots": [str(r) for r in roots], **corpus}, "chunking": {"minTokens": 2, "targetTokens": 20, "maxTokens": 30}})
+    return settings.make({"corpus": {"roots": [str(r) for r in roots], "allow": ["**/*.md"], **corpus}, "chunking": {"minTokens": 2, "targetTokens": 20, "maxTokens": 30}})
 
 
 def test_corpus_policy(spark, tmp_path):
@@ -50,11 +50,11 @@ def test_index_is_incremental(spark, tmp_path):
     write(root, "b.md", "# C\nfive six seven eight")
     store, e, c = index.IndexStore(spark, str(tmp_path / "index")), embed.HashingEmbedder(8), conf(root)
     assert store.manifest() is None and not store.backfill()
-    assert freshness.build_index(spark, c, store, e, 1_000) == {"inserted": 3, "updated": 0, "unchanged": 0, "removed": 0, "total": 3}
+    assert freshness.build_index(spark, c, store, e, 1_000) == {"inserted": 3, "updated": 0, "unchanged": 0, "removed": 0, "total": 3, "files": 2}
     assert freshness.build_index(spark, c, store, e, 2_000) == {"reused": True}
     write(root, "a.md", "# A\nalpha beta gamma CHANGED\n# B\none two three four", 1_700_000_999)
     (root / "b.md").unlink()
-    assert freshness.build_index(spark, c, store, e, 3_000) == {"inserted": 0, "updated": 1, "unchanged": 1, "removed": 1, "total": 2}
+    assert freshness.build_index(spark, c, store, e, 3_000) == {"inserted": 0, "updated": 1, "unchanged": 1, "removed": 1, "total": 2, "files": 1}
     chunks = {r["section"]: r for r in store.table("chunks").collect()}
     assert chunks["B"]["created_at"] == 1_000 and chunks["B"]["updated_at"] == 3_000
     assert store.table("vectors").count() == 2 and store.counts()["indexed"] == 2
@@ -131,8 +131,8 @@ def test_toc(spark):
     got = {r["type"]: r for r in audit.toc(chunks).collect()}
     assert (got["session"]["date"], got["session"]["n_chunks"], got["session"]["sections"]) == ("2026-02-01", 3, ["B", "A"])
     assert got["doc"]["sections"] == [] and audit.toc(chunks, "doc").count() == 1
-    text = {r["type"]: r["rendered"] for r in audit.toc_text(audit.toc(chunks), full=True).collect()}
-    assert text["session"] == "session\n- s.md · 2026-02-01 · 3 chunks\n  - B\n  - A"
+    lines = {(r["type"], r["source"]): r["line"] for r in audit.toc_lines(audit.toc(chunks), full=True).collect()}
+    assert lines["session", "s.md"] == "- s.md · 2026-02-01 · 3 chunks\n  - B\n  - A" and set(lines) == {("session", "s.md"), ("doc", "d.md")}
 
 
 def test_transcripts(spark, tmp_path):
@@ -169,7 +169,8 @@ def test_settings(tmp_path):
     settings.save(settings.set_value(settings.make(), "retrieval.topK", "7"), path)
     assert settings.load(path)["retrieval"]["topK"] == 7 and os.stat(path).st_mode & 0o777 == 0o600
     assert settings.load(str(tmp_path / "none.json")) == settings.DEFAULTS
-    assert settings.clamped({"topK": 99.9, "bm25TopK": "x", "maxTotalTokens": -1}) == {"topK": 25, "maxTotalTokens": 1}
+    assert settings.clamped({"topK": 99.9, "bm25TopK": "x", "maxTotalTokens": -1}) == {"topK": 25, "bm25TopK": 15, "maxTotalTokens": 1}
+    assert settings.clamped({"topK": 2.7, "bm25TopK": "x"}, defaults=False) == {"topK": 2}
     assert settings.is_sensitive("api_key") and settings.is_sensitive("authToken") and not settings.is_sensitive("maxTotalTokens")
     added = settings.edit_list(settings.make(), "deny", "add", "**/*.tmp")
     assert settings.edit_list(added, "deny", "add", "**/*.TMP") == added
@@ -201,3 +202,95 @@ def test_changes_stream(spark, tmp_path):
     finally:
         q.stop()
     assert len(seen) == 4
+
+
+def test_log_and_session_are_rendered(spark, tmp_path):
+    path = str(tmp_path / "logs" / "r.jsonl")
+    stages_ = [{"stage": "bm25Retrieve", "fail_open": True, "reason": "gone"}, {"stage": "denseRetrieve", "count": 1, "candidates": [{"id": "x", "score": 0.5}]}, {"stage": "freeGates", "selected": 1, "drops": {"dup": 2}}, {"stage": "assemble", "injected": True, "bytes": 9}]
+    audit.append_line(path, audit.service_line("my password: hunter2 here", True, 12, stages_, [{"rank": 1, "id": "x", "source": "a.md", "final_score": 0.7, "text": "never"}]))
+    audit.append_line(path, audit.client_line("q", "delivered", 3))
+    with open(path, "a") as f:
+        f.write("{broken\n")
+    log = audit.read_log(spark, path)
+    rows = [json.loads(r["record"]) for r in audit.last_records(log, 5).select(F.to_json("record").alias("record")).collect()]
+    text = audit.render_log(audit.log_summary(log).first().asDict(), rows)
+    assert "# records: 2 total" in text and "# service/client: 1/1" in text and "hunter2" not in text and "never" not in text
+    assert "selected(1): x:a.md@0.7" in text and "bm25Retrieve fail_open reason=gone" in text and "denseRetrieve count=1 candidates=x@0.5" in text and "drops=dup:2" in text and "outcome=delivered duration=3ms" in text
+    shown = [{"line_no": 4, "prompt": "a  question", "injection": None}, {"line_no": 9, "prompt": "b", "injection": "[a.md · 2026-01-01] t"}]
+    text = audit.render_session("s.jsonl", 7, 3, shown)
+    assert "7 total, showing last 2" in text and "3/7 turns" in text and "YOU: a question" in text and "a.md (2026-01-01)" in text
+    assert "   | [a.md" in audit.render_session("s.jsonl", 7, 3, shown, full=True)
+
+
+def test_transcripts_are_found(tmp_path):
+    import os
+
+    for i, name in enumerate(("b.jsonl", "a.jsonl", "c.txt")):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (i, i))
+    folder = str(tmp_path)
+    assert audit.resolve_transcript(folder).endswith("a.jsonl") and audit.resolve_transcript(folder, "b").endswith("b.jsonl")
+    assert audit.resolve_transcript("/x/y.jsonl") == "/x/y.jsonl" and audit.default_transcripts("/a/b", "/h") == "/h/.claude/projects/-a-b"
+    with pytest.raises(FileNotFoundError):
+        audit.resolve_transcript(folder, "zz")
+
+
+def test_default_globs_refuse_secrets():
+    from lanternfish.functions.globs import Policy
+    from lanternfish.plans import config as settings
+
+    c = settings.make()["corpus"]
+    policy = Policy(c["allow"], c["deny"])
+    for name in ("workspace/my-api-key/README.md", "memory/users/apikeys.md", "memory/users/private_key.md", "memory/reference/x.md.backup", "memory/archive/x.md", "workspace/CLAUDE.md.bak", "notes.md"):
+        assert not policy.allows(name, f"/r/{name}")
+    for name in ("memory/reference/a/b.md", "workspace/a/b/README.md", ".claude/skills/s/SKILL.md"):
+        assert policy.allows(name, f"/r/{name}")
+
+
+def test_refreshes_do_not_overlap():
+    import threading
+
+    from lanternfish.streaming import freshness
+
+    running, seen, gate = [], [], threading.Event()
+
+    def refresh():
+        running.append(1)
+        assert len(running) == 1
+        gate.wait(5)
+        running.pop()
+        seen.append(1)
+        return {"n": len(seen)}
+
+    single = freshness.SingleFlight(refresh)
+    first = threading.Thread(target=single)
+    first.start()
+    while not running:
+        pass
+    assert single() is None and single() is None  # remembered, once
+    gate.set()
+    first.join()
+    assert len(seen) == 2
+
+
+def test_changes_of_files_start_a_refresh(spark, tmp_path):
+    import time
+
+    from lanternfish.plans import config as settings
+    from lanternfish.streaming import freshness
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.md").write_text("one")
+    config = settings.make({"corpus": {"roots": [str(tmp_path / "c")], "allow": ["**/*.md"]}, "freshness": {"debounceMs": 200}})
+    reports, n = [], []
+    stream = freshness.watch_stream(spark, config, lambda: n.append(1) or {"n": len(n)}, str(tmp_path / "cp"), reports)
+    try:
+        stop = time.time() + 60
+        while len(n) < 1 and time.time() < stop:
+            time.sleep(0.2)
+        (tmp_path / "c" / "b.md").write_text("two")
+        while len(n) < 2 and time.time() < stop:
+            time.sleep(0.2)
+        assert len(n) >= 2 and stream.exception() is None
+    finally:
+        stream.stop()

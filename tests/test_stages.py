@@ -104,3 +104,28 @@ def test_model_scorer(spark):
     score = rerank.model_scorer(lambda q, p: [0.0 for _ in q])
     rows = score(spark.createDataFrame([("q", "p")], "query string, passage string")).collect()
     assert rows[0]["rerank_score"] == 0.5
+
+
+def test_failing_search_and_reranker_leave_a_note(spark):
+    rows = candidates(spark, [{"id": "a", "score": 0.9}, {"id": "b", "score": 0.8}])
+    queries = spark.createDataFrame([(1, "a text")], "query_id int, query string")
+    config = settings.make({"filter": {"provider": "rerank"}})
+
+    def broken(rows):
+        return rows.withColumn("rerank_score", F.raise_error(F.lit("no model")).cast("double"))
+
+    def shapeless(rows):
+        return rows.withColumn("rerank_score", F.lit(float("nan")))
+
+    for scorer, reason in ((None, "reranker_unavailable"), (broken, "no model"), (shapeless, "invalid scores")):
+        ctx = stages.rerank_filter(stages.Context(config, queries, rows, rows, NOW, candidates=rows, scorer=scorer, fail_open=True))
+        assert {r["id"] for r in ctx.candidates.collect()} == {"a", "b"}
+        note = ctx.log[-1][1].first()
+        assert note["fail_open"] and reason in note["reason"]
+    with pytest.raises(Exception, match="no model"):
+        stages.rerank_filter(stages.Context(config, queries, rows, rows, NOW, candidates=rows, scorer=broken)).candidates.collect()
+    from lanternfish.operators.fulltext import TextIndex
+
+    lost = TextIndex(rows.select(F.raise_error(F.lit("postings are gone")).cast("string").alias("term"), "id", F.lit("text").alias("col"), F.lit(0).alias("pos"), F.lit(1).cast("bigint").alias("n_tokens"), "mtime"))
+    ctx = stages.bm25_retrieve(stages.Context(config, queries, rows, rows, NOW, index=lost, fail_open=True, lists={"dense": rows.withColumn("dense_rank", F.col("pos"))}))
+    assert set(ctx.lists) == {"dense"} and "postings are gone" in ctx.log[-1][1].first()["reason"]
