@@ -52,13 +52,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 SMALL_PARTITION = 20_000
 
 
-def settled(df: DataFrame, rows: int = SMALL_PARTITION) -> DataFrame:
+def settled_rows(df: DataFrame, rows: int = SMALL_PARTITION, most: int | None = None) -> tuple[DataFrame, int]:
+    """As settled, and how many rows there are. most: a bound on them where one is known, so that few files are written."""
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // rows)))
+    done = checkpointed(df)
+    n = done.count()
+    return done.coalesce(max(1, min(done.rdd.getNumPartitions(), -(-n // rows)))), n
+
+
+def settled(df: DataFrame, rows: int = SMALL_PARTITION, most: int | None = None) -> DataFrame:
     """A checkpoint that is read by no more tasks than its rows need: for the small tables of iterative algorithms.
 
     Every task of a later shuffle leaves files of its own, so many tasks with few rows cost disk and time.
     """
-    done = checkpointed(df)
-    return done.coalesce(max(1, min(done.rdd.getNumPartitions(), -(-done.count() // rows))))
+    return settled_rows(df, rows, most)[0]
 
 
 def release(spark: SparkSession) -> None:

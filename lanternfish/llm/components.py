@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled_rows
 
 
 def _with_low(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def _are_stars(e: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("down").alias("n"), F.min("down").alias("lo")).where("n > 1 or (n = 1 and lo = 0)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Map each node of undirected edges (u, v) to the smallest node of its component: (node, root).
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """Map each node of undirected edges (u, v) to the smallest node of its component: (node, root). n: how many edges at most.
 
     Large and small stars alternate until the edges form stars around the roots, in about the logarithm of the
     longest chain. Only the answer whether they do leaves the executors; each round ends in a reliable checkpoint.
@@ -34,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_low(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x"))
-        e = settled(small.select("x.u", "x.v").where("u <> v").distinct())
+        # a round leaves no more than one edge downwards for each end of an edge
+        e, n = settled_rows(small.select("x.u", "x.v").where("u <> v").distinct(), most=None if n is None else 2 * n)
         if _are_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces, ship
-from .common import checkpointed, release, settled
+from .common import checkpointed, release, settled, settled_rows
 from .components import components
 
 SHINGLE = 5
@@ -293,24 +293,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "class_size", "copies", "links", "key", "root")
 
 
-def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame | None:
-    """Labels (node, root) after new links (a, b), by contracting the graph of the classes that they join."""
+def _joined(label: DataFrame | None, new: DataFrame, n: int) -> DataFrame:
+    """Labels (node, root) after n new links (a, b), by contracting the graph of the classes that they join."""
     edges = new.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if label is None:
-        return components(edges)
+        return components(edges, n)
     for c in ("u", "v"):
         edges = edges.join(label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
-    moved = components(edges.select("u", "v").distinct()).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = components(edges.select("u", "v").distinct(), n).select(F.col("node").alias("old"), F.col("root").alias("new"))
     kept = label.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = moved.join(label, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
-    return settled(kept.unionByName(fresh))
+    return settled(kept.unionByName(fresh), most=label.count() + 2 * n)
 
 
 def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
     """The tested links (a, b) between different texts, a < b, and the labels (node, root) that they give."""
     texts = _texts_of(docs, active.select("key").distinct())
     tested = label = None
-    here = active.withColumn("root", F.col("key"))
+    here, left = active.withColumn("root", F.col("key")), active.count()
 
     def test(pairs: DataFrame) -> None:
         """Verify pairs that have not met yet, and bring the labels up to date."""
@@ -322,8 +322,8 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
         done = settled(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a binary, b binary, sim double, linked boolean"))
         tested = done if tested is None else tested.unionByName(done)
         new = done.where("linked")
-        if not new.isEmpty():
-            label = _joined(label, new)
+        if n := new.count():
+            label = _joined(label, new, n)
 
     def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
         """Add the class of a node as ``root``; a node without a link is its own."""
@@ -334,8 +334,10 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows (bucket, key, central) of buckets of more than one class, with their class."""
         rows = rooted(rows, "key", "root")
+        nonlocal left
         of = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        return settled(rows.join(of.select("bucket"), "bucket"))
+        out, left = settled_rows(rows.join(of.select("bucket"), "bucket"), most=left)
+        return out
 
     for _ in range(ROUNDS):
         reps = here.groupBy("bucket").agg(F.max(F.struct("central", "key", "root")).alias("rep")).select("bucket", F.col("rep.key").alias("rep"), F.col("rep.root").alias("rep_root"))
@@ -343,7 +345,7 @@ def _links(docs: DataFrame, active: DataFrame, threshold: float) -> tuple[DataFr
         test(met.select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct())
         here = mixed(here.select("bucket", "key", "central").join(reps.select("bucket", F.col("rep").alias("key")), ["bucket", "key"], "left_anti"))
         release(docs.sparkSession)
-        if here.isEmpty():
+        if not left:
             break
     else:
         pairs = settled(_overlapping(here.select("key", "root").distinct(), texts, threshold))
