@@ -125,6 +125,16 @@ def stored_search(spark, d):
     return found
 
 
+def over_stored(spark, d, store: index.IndexStore) -> dict:
+    """Searches that read a stored index, by name; for the bench."""
+    conf = settings.make({"retrieval": {"threshold": 0.45}})
+
+    def hybrid():
+        return stages.run_pipeline(stages.Context(conf, asked(spark, d), store.table("chunks"), store.table("vectors").select("id", "vector"), NOW_MS, index=store.text_index())).assembled
+
+    return {"bm25_topk_stored": lambda: fulltext.search_text(asked(spark, d), store.text_index(), 10), "hybrid_retrieve_stored": hybrid}
+
+
 @query
 def index_counts(spark, d):
     """What the stored index tells of itself: rows, tables and meta data, after one of these was replaced."""
