@@ -85,7 +85,8 @@ def test_recall_asks_the_service_first(live):
         assert cli.recall(config, "q", lambda: ["direct"], broken) == ["direct"]
 
 
-def test_client_entry(live, tmp_path, capsys):
+def test_client_entry(live, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)  # without a settings file the log lies below the working folder
     import io
     import os
     import stat
