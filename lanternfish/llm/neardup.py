@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     text) and root (the least key of the class) tell texts and classes apart where ids repeat.
     """
     ship(__name__)
+    release(docs.sparkSession)  # what earlier stages left goes before this one fills the disk
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = checkpointed(docs.select("text", "doc_id").mapInArrow(_sign(bands, rows), f"doc_id {id_type}, key binary, bands array<bigint>"))
