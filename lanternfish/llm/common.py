@@ -80,7 +80,12 @@ def release(spark: SparkSession) -> None:
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
+
+
+def marks(text: Column, kinds: str) -> Column:
+    """The characters of a text that a class of a pattern has, in order: counted in place of the text, which is far longer."""
+    return F.regexp_replace(text, f"[^{kinds}]+", "")
 
 
 def let(value: Column, body) -> Column:

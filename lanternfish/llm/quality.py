@@ -20,9 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, table, words
+from .common import checkpointed, let, marks, table, words
 
 SYMBOLS = "#*$%&|<>"
+#: What a text's characters are counted by.
+COUNTED = r"#*$%&|<>!.?。\p{Lu}"
 WINDOW = 8
 ROUNDS = 100
 #: The first guess of an accuracy counts as many votes, and an accuracy stays within these bounds.
@@ -39,7 +41,14 @@ def _without(text: Column, letters: str) -> Column:
 def repeat_words(tokens: Column) -> Column:
     """Words that lie in a window of eight words found twice or more in the text."""
     hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    windows = let(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+
+    def joined(h: Column, n: int) -> Column:
+        """Hashes of runs of 2 * n words from those of n, at every word."""
+        return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + n)))
+
+    # by doubling: of two, four, then eight words; those that go beyond the text's end are cut off
+    runs = let(let(let(hashes, lambda h: joined(h, 1)), lambda h: joined(h, 2)), lambda h: joined(h, 4))
+    windows = F.slice(runs, 1, F.size(tokens) - (WINDOW - 1))
 
     def covered(wins: Column) -> Column:
         placed = F.array_sort(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -57,15 +66,15 @@ def repeat_words(tokens: Column) -> Column:
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts of STATS, all of the whole text; the text column stays."""
-    names = ["_body", "_words", "_lines"]
+    names = ["_marks", "_words", "_lines"]
     made = {*STATS, *names}
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    rows = docs.select(*kept, body.alias("_body"), words(F.col(f"`{text}`")).alias("_words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
-    t, w, lines = F.col("_body"), F.col("_words"), F.col("_lines")
+    rows = docs.select(*kept, marks(body, COUNTED).alias("_marks"), words(F.col(f"`{text}`")).alias("_words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
+    t, w, lines = F.col("_marks"), F.col("_words"), F.col("_lines")
     stats = {
         "n_words": F.size(w),
-        "word_chars": _without(t, " \t\n\x0b\x0c\r"),
+        "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.length(t) - _without(t, SYMBOLS),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeat_words(w),

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import marks, table, words
 
 SAMPLE_PER_CLASS, SAMPLE_ROWS = 4000, 16_000
 TREES, DEPTH, RATE = 40, 3, 0.3
@@ -31,23 +31,27 @@ MIN_LEAF = 8
 L1 = 0.002
 STEPS = 1500
 
+#: What a text's characters are counted by.
+COUNTED = r"#*$%&|<>!.?;:0-9\p{Lu}"
 FEATURES = ["log_words", "word_length", "symbol_rate", "exclaim_rate", "bar_rate", "upper_rate", "stop_rate", "digit_rate", "variety", "stutter_rate", "line_words", "repeat_line_rate"]
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the columns of FEATURES, rates of counts over the whole text; the text column goes."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    made = {*FEATURES, "_body", "_words", "_lines", text}
+    made = {*FEATURES, "_marks", "_words", "_joined", "_lines", text}
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    rows = docs.select(*kept, body.alias("_body"), words(F.col(f"`{text}`")).alias("_words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
-    t, w, lines = F.col("_body"), F.col("_words"), F.col("_lines")
-    chars = F.length(F.translate(t, " \t\n\x0b\x0c\r", ""))
+    rows = docs.select(*kept, marks(body, COUNTED).alias("_marks"), words(F.col(f"`{text}`")).alias("_words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
+    rows = rows.select(*kept, "_marks", "_words", "_lines", F.array_join("_words", " ").alias("_joined"))
+    t, w, lines = F.col("_marks"), F.col("_words"), F.col("_lines")
+    chars = F.length("_joined") - F.greatest(F.size(w) - 1, F.lit(0))
 
     def count(letters: str) -> Column:
         return F.length(t) - F.length(F.translate(t, letters, ""))
 
     n = F.greatest(F.size(w), F.lit(1))
-    stutter = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + F.when(F.get(w, i) == F.get(w, i - 1), 1).otherwise(0))
+    # words that their like follows
+    stutter = F.regexp_count("_joined", F.lit(r"(?<![^ ])([^ ]++)(?= \1(?![^ ]))"))
     n_lines = F.greatest(F.size(lines), F.lit(1))
     values = {
         "log_words": F.log1p(F.size(w)),

@@ -147,3 +147,19 @@ def test_classifier_on_ties_repeats_and_long_texts(spark):
     odd = spark.createDataFrame([(7, "word " * 200_000, "en", 0.5)] * 2 + [(None, None, None, None)], docs.schema)
     rows = rule_classifier.scored(docs.unionByName(odd), rule_classifier.train(docs.unionByName(odd), labels.unionByName(labels))).collect()
     assert len(rows) == 65 and len({r["score"] for r in rows if r["doc_id"] == 7}) <= 2 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_texts_are_counted_without_walks_over_words(spark, capsys):
+    rng = random.Random(6)
+    texts = [None, "", " ", "a a", "a a a b b a", "aa a aa aa", " lead lead", "É É É! x", "😀 😀😀 😀", "$1 $1 \\1 \\1", "a\x1ca a\x1ca", "1 11 11 #|"] + [" ".join(rng.choice("ab") for _ in range(n)) for n in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    made, stats = rule_classifier.with_features(docs), quality.with_stats(docs)
+    for r in made.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]] or "")
+        n = max(len(w), 1)
+        assert abs(r["stutter_rate"] - sum(a == b for a, b in zip(w, w[1:])) / n) < 1e-12 and abs(r["word_length"] - sum(map(len, w)) / n) < 1e-12
+        assert abs(r["digit_rate"] - sum(c in "0123456789" for x in w for c in x) / max(sum(map(len, w)), 1)) < 1e-12
+    made.explain(True)
+    stats.explain(True)
+    plan = capsys.readouterr().out
+    assert "aggregate(sequence(" not in plan and "xxhash64(slice(" not in plan
