@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import scores as S
 from ..functions import text as X
 from .dense import nearest
-from .fulltext import TextIndex, occurrences, search_text
+from .fulltext import ChunkScan, TextIndex, scan, search_text
 from .shared import settled
 
 SCORES = ["score", "distance", "bm25_score", "fused_score", "normalized_fused", "rerank_score"]
@@ -31,8 +31,8 @@ CLOSING = "</retrieved-memory>"
 @dataclass(frozen=True)
 class Context:
     """queries: (query_id, query, vector); chunks: (id, text, source, section, hash, mtime, token_count, date, type);
-    vectors: (id, vector); live: (source, mtime_ms) or None, where every chunk counts as fresh; index: stored postings, made
-    from the chunks where there are none; fail_open: keyword search and reranker run at once, and an error there leaves a
+    vectors: (id, vector); live: (source, mtime_ms) or None, where every chunk counts as fresh; index: stored postings; the
+    chunks are scanned where there are none; fail_open: keyword search and reranker run at once, and an error there leaves a
     note in the log and the other candidates."""
 
     config: dict
@@ -47,7 +47,7 @@ class Context:
     selected: DataFrame | None = None
     assembled: DataFrame | None = None
     scorer: Callable[[DataFrame], DataFrame] | None = None
-    index: TextIndex | None = None
+    index: TextIndex | ChunkScan | None = None
     fail_open: bool = False
     few: bool | None = None
     log: tuple[tuple[str, DataFrame], ...] = ()
@@ -121,7 +121,7 @@ def dense_retrieve(ctx: Context) -> Context:
 @stage("bm25Retrieve")
 def bm25_retrieve(ctx: Context) -> Context:
     ctx = ctx.counted()
-    index = ctx.index or TextIndex(occurrences(ctx.chunks))
+    index = ctx.index or scan(ctx.chunks)
     rows, reason = ctx.attempted(lambda: ctx.narrow(search_text(ctx.queries, index, ctx.config["retrieval"]["bm25TopK"])).withColumn("pos", F.col("bm25_rank")))
     if rows is None:
         return ctx.logged("bm25Retrieve", ctx.failure(reason))

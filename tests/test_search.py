@@ -7,7 +7,8 @@ import unicodedata
 import numpy as np
 import pytest
 
-from lanternfish.operators import dense, embed, fulltext
+from lanternfish.operators import dense, embed, fulltext, stages, textscan
+from lanternfish.sources import tables
 
 WORDS = ["alpha", "beta", "gamma", "Café", "naïve", "foo_bar", "x", "delta", "memo", "ZETA", "纯中文"]
 
@@ -74,3 +75,38 @@ def test_hashing_embedder(spark):
     assert abs(sum(x * x for x in rows[0]["vector"]) - 1) < 1e-5
     with pytest.raises(ValueError, match="mode"):
         e.embed(["a"], "other")
+
+
+def test_scan_equals_postings(spark, monkeypatch):
+    """Chunks without an index are scanned: the same scores, ranks and phrases as by stored postings, whatever the blocks."""
+    rng = random.Random(8)
+    rows = corpus(rng, 90) + [("twin", "alpha x", "a", "b", 5), ("twin", "x gamma", "a", "b", 7), ("late", None, None, None, 9), ("untimed", "alpha x", "alpha", "", None)]
+    rows += [(f"same{i}", "memo delta", "s", "t", i % 3) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "id string, text string, source string, section string, mtime long").repartition(3)
+    queries = ["alpha", "cafe beta", "foo_bar gamma foo", "nothing here", "纯中文 x_alpha", "alpha ZETA memo delta", "", None, "x_x_x foo_bar_x", "memo_delta memo"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    scan, stored = fulltext.scan(chunks), fulltext.TextIndex(fulltext.occurrences(chunks))
+    want = {k: sorted(map(tuple, fulltext.search_text(asked, stored, k).collect())) for k in (1, 7, 200)}
+    phrases = fulltext.query_phrases(asked)
+    counts = sorted(map(tuple, fulltext.phrase_counts(phrases, stored).collect()))
+    for piece, tile, some in ((1 << 24, 1 << 21, 500_000), (64, 1, 2)):
+        monkeypatch.setattr(textscan, "PIECE", piece)
+        monkeypatch.setattr(textscan, "TILE", tile)
+        monkeypatch.setattr(textscan, "SCAN_PHRASES", some)
+        assert {k: sorted(map(tuple, fulltext.search_text(asked, scan, k).collect())) for k in want} == want
+        assert sorted(map(tuple, fulltext.phrase_counts(phrases, scan).collect())) == counts
+    assert fulltext.search_text(asked.limit(0), scan, 3).collect() == [] == fulltext.search_text(asked, fulltext.scan(chunks.limit(0)), 3).collect()
+    assert fulltext.phrase_counts(phrases.limit(0), scan).collect() == []
+
+
+def test_scan_keeps_a_row_for_each_chunk(spark, monkeypatch):
+    """What a search without an index stores does not grow with the occurrences of its terms."""
+    kept = []
+    for module in (fulltext, textscan):
+        monkeypatch.setattr(module, "settled", lambda df, f=module.settled: kept.append(f(df)) or kept[-1])
+    docs = spark.createDataFrame([(i, "the the of the " * 50, "s") for i in range(30)], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(1, "the of"), (2, "of the")], "query_id int, query string")
+    chunks = tables.document_chunks(docs)
+    assert stages.Context({"retrieval": {"bm25TopK": 3}}, asked, chunks, chunks, 0).index is None
+    found = stages.bm25_retrieve(stages.Context({"retrieval": {"bm25TopK": 3}}, asked, chunks, chunks, 0)).lists["bm25"]
+    assert found.count() == 6 and max(df.count() for df in kept) <= 30
