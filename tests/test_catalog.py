@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lanternfish.operators import fulltext, textscan
 from lanternfish.plans import catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -53,3 +54,19 @@ def test_injection_sources_reads_whole_texts(spark, tmp_path):
     late.write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.QUERIES["injection_sources"](spark, str(tmp_path)).collect()
     assert len(got) == 2 and ("notes/late.md", "2025-03-04") in {(r["source"], r["date"]) for r in got}
+
+
+UNINDEXED = [
+    "bm25_topk",
+]
+
+
+@pytest.mark.parametrize("name", UNINDEXED)
+def test_search_keeps_a_row_for_each_document(spark, monkeypatch, name):
+    """What a search without an index stores does not grow with the occurrences of its terms."""
+    kept = []
+    for module in (fulltext, textscan):
+        monkeypatch.setattr(module, "settled", lambda df, f=module.settled: kept.append(f(df)) or kept[-1])
+    catalog.QUERIES[name](spark, FOLDER).collect()
+    n, asked = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "benchmark"))
+    assert kept and max(df.count() for df in kept) <= max(n, 10 * asked)
