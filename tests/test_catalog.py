@@ -58,6 +58,7 @@ def test_injection_sources_reads_whole_texts(spark, tmp_path):
 
 UNINDEXED = [
     "bm25_topk",
+    "bm25_phrase",
 ]
 
 
