@@ -59,6 +59,7 @@ def test_injection_sources_reads_whole_texts(spark, tmp_path):
 UNINDEXED = [
     "bm25_topk",
     "bm25_phrase",
+    "assemble_context",
 ]
 
 
