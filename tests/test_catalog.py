@@ -60,6 +60,7 @@ UNINDEXED = [
     "bm25_topk",
     "bm25_phrase",
     "assemble_context",
+    "drop_reasons",
 ]
 
 
