@@ -61,6 +61,7 @@ UNINDEXED = [
     "bm25_phrase",
     "assemble_context",
     "drop_reasons",
+    "hook_payload",
 ]
 
 
