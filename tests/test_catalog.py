@@ -62,6 +62,7 @@ UNINDEXED = [
     "assemble_context",
     "drop_reasons",
     "hook_payload",
+    "hybrid_retrieve",
 ]
 
 
