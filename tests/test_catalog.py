@@ -63,6 +63,7 @@ UNINDEXED = [
     "drop_reasons",
     "hook_payload",
     "hybrid_retrieve",
+    "service_records",
 ]
 
 
