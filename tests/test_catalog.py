@@ -64,6 +64,7 @@ UNINDEXED = [
     "hook_payload",
     "hybrid_retrieve",
     "service_records",
+    "stage_log",
 ]
 
 
