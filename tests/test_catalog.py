@@ -65,6 +65,7 @@ UNINDEXED = [
     "hybrid_retrieve",
     "service_records",
     "stage_log",
+    "bm25_only_admission",
 ]
 
 
