@@ -66,6 +66,7 @@ UNINDEXED = [
     "service_records",
     "stage_log",
     "bm25_only_admission",
+    "free_gates",
 ]
 
 
