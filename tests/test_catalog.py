@@ -67,6 +67,7 @@ UNINDEXED = [
     "stage_log",
     "bm25_only_admission",
     "free_gates",
+    "recall_items",
 ]
 
 
