@@ -68,6 +68,7 @@ UNINDEXED = [
     "bm25_only_admission",
     "free_gates",
     "recall_items",
+    "recall_text",
 ]
 
 
