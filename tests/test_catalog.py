@@ -69,6 +69,7 @@ UNINDEXED = [
     "free_gates",
     "recall_items",
     "recall_text",
+    "rrf_fuse",
 ]
 
 
