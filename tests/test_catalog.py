@@ -82,3 +82,27 @@ def test_search_keeps_a_row_for_each_document(spark, monkeypatch, name):
     catalog.QUERIES[name](spark, FOLDER).collect()
     n, asked = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "benchmark"))
     assert kept and max(df.count() for df in kept) <= max(n, 10 * asked)
+
+
+def written(spark) -> int:
+    """Bytes that shuffles and kept tables of this session came to."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    kept = sc.getCheckpointDir()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.get()) if kept.isDefined() else None
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength() if folder else 0
+    return files + sum(x.totalShuffleWrite() for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().executorList(False)))
+
+
+@pytest.mark.parametrize("name", ["drop_reasons"])
+def test_search_writes_less_than_its_texts(spark, tmp_path, name):
+    """Disk of a search without an index, where each word of each document is one of the queries'."""
+    asked = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").limit(2).cache()
+    words = sorted({w for r in asked.collect() for w in r["text"].split()})
+    docs = [(i, " ".join(words[(i * 7 + j * (1 + i % 5)) % len(words)] for j in range(800)), "en", f"s{i % 3}") for i in range(1000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{FOLDER}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = written(spark)
+    assert catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert written(spark) - before < sum(len(text) for _, text, *_ in docs)
