@@ -94,7 +94,7 @@ def written(spark) -> int:
     return files + sum(x.totalShuffleWrite() for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().executorList(False)))
 
 
-@pytest.mark.parametrize("name", ["drop_reasons", "hook_payload", "hybrid_retrieve", "service_records", "bm25_only_admission", "recall_text"])
+@pytest.mark.parametrize("name", ["drop_reasons", "hook_payload", "hybrid_retrieve", "service_records", "bm25_only_admission", "recall_text", "stage_log"])
 def test_search_writes_less_than_its_texts(spark, tmp_path, name):
     """Disk of a search without an index, where each word of each document is one of the queries'."""
     asked = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").limit(2).cache()
